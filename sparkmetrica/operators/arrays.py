@@ -96,11 +96,11 @@ def matmul(a: DataFrame, b: DataFrame, block: int = 256) -> DataFrame:
 
     left = left.withColumns({"bi": cut("i"), "bk": cut("j")})
     right = right.withColumns({"bk": cut("i"), "bj": cut("j")})
-    rows_of_blocks = left.select("bi", "bk").distinct()
-    columns_of_blocks = right.select("bk", "bj").distinct()
-    pairs = rows_of_blocks.join(columns_of_blocks, "bk")
-    left = left.join(pairs, ["bi", "bk"])
-    right = right.join(pairs, ["bk", "bj"])
+    # which blocks of the other matrix each block has to meet
+    left_blocks = left.groupBy("bk").agg(F.collect_set("bi").alias("targets"))
+    right_blocks = right.groupBy("bk").agg(F.collect_set("bj").alias("targets"))
+    left = left.join(right_blocks, "bk").withColumn("bj", F.explode("targets")).drop("targets")
+    right = right.join(left_blocks, "bk").withColumn("bi", F.explode("targets")).drop("targets")
 
     def multiply(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         bi, bk, bj = key
