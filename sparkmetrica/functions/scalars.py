@@ -27,12 +27,13 @@ def ratio(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
-def hash_uniform(key, seed: str) -> Column:
+def hash_uniform(key, seed: str, part: int = 0) -> Column:
     """A number in [0, 1) that depends on ``seed`` and ``key`` alone.
 
     First 8 hex digits of ``md5(seed:key)`` over 2^32: the same on every run,
     every partitioning and in any SQL engine. ``key`` may be a list of columns.
+    ``part`` 0 to 3 takes another 8 of the 32 digits: four numbers for one hash.
     """
     keys = key if isinstance(key, (list, tuple)) else [key]
     text = F.concat_ws(":", F.lit(seed), *[col(k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1 + 8 * part, 8), 16, 10).cast("double") / F.lit(4294967296.0)

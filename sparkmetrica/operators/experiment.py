@@ -77,8 +77,8 @@ def bootstrap_reps(df: DataFrame, unit: str, arm: str, y: str, B: int, seed: str
     columns = [F.col(unit).alias("unit"), F.col(arm).alias("arm"), num(y).alias("y")]
     columns += [num(den).alias("den")] if den else []
     rows = df.select(*columns).where(F.col("arm").isin(list(arms)) & F.col("y").isNotNull())
-    reps = _long_reps(rows, B).withColumn("w", poisson_weight(hash_uniform(["rep", "unit"], seed)))
-    reps = reps.where("w > 0")
+    reps = _long_reps(rows, B).withColumn("_u", hash_uniform(["rep", "unit"], seed))
+    reps = reps.withColumn("w", poisson_weight(F.col("_u")))  # not filtered: that would hash twice
     if stat == "median":
         per_arm = O.exact_quantiles(reps, "y", (0.5,), ["rep", "arm"], weight=F.col("w"))
         value = lambda a: F.max(F.when(F.col("arm") == a, F.col("q50")))

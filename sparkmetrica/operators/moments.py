@@ -42,13 +42,16 @@ class Moments:
 
 
 def _columns(columns) -> dict[str, Column]:
-    if isinstance(columns, dict):
-        return {n: num(c) for n, c in columns.items()}
-    return {c: num(c) for c in columns}
+    """Names or ready DOUBLE columns; NaN in named ones counts as missing."""
+    return dict(columns) if isinstance(columns, dict) else {c: num(c) for c in columns}
 
 
 def complete_rows(df: DataFrame, columns: dict, keep=(), weight=None) -> DataFrame:
-    """The columns as DOUBLE, all NULL where any of them is missing."""
+    """The columns as DOUBLE, all NULL where any of them is missing.
+
+    Rows are masked, not filtered: aggregates skip NULL anyway, and a filter on a
+    derived column would be pushed down and make Spark compute the column twice.
+    """
     got = dict(columns)
     if weight is not None:
         got["_w"] = num(weight)
@@ -77,7 +80,8 @@ def pair_sums(df: DataFrame, columns: list[Column]) -> np.ndarray:
     k = len(columns)
     rows = df.select(*[c.alias(f"_p{i}") for i, c in enumerate(columns)])
     if k > WIDE:
-        vectors = rows.dropna().select(F.array(*rows.columns).alias("x"))
+        # a score row is NULL in all its columns or in none
+        vectors = rows.select(F.when(F.col("_p0").isNotNull(), F.array(*rows.columns)).alias("x"))
         out = np.zeros((k, k))
         for r in gram(vectors, "x").collect():  # k^2 numbers
             out[r["i"], r["j"]] = r["v"]
@@ -119,12 +123,12 @@ def moments_by(df: DataFrame, columns, by) -> DataFrame:
     rows = complete_rows(df, columns, keep=list(by))
     slots = list(columns)
     pairs = _pairs(len(names))
-    grouped = rows.where(F.col(slots[0]).isNotNull()).groupBy(*by).agg(
+    grouped = rows.groupBy(*by).agg(
         F.count(slots[0]).alias("n"),
         *[F.avg(s).alias(f"_m{s}") for s in slots],
         *[F.covar_pop(slots[i], slots[j]).alias(f"_c{i}_{j}") for i, j in pairs],
     )
-    return grouped.select(
+    return grouped.where("n > 0").select(
         *by,
         "n",
         F.array(*[F.col(f"_m{s}") for s in slots]).alias("mean"),

@@ -19,7 +19,7 @@ from sparkmetrica.functions.scalars import col, num
 from sparkmetrica.session import settle
 
 # Up to this many rows, counted first, an ordinary window per group is the cheaper plan.
-SMALL_ROWS = 500_000
+SMALL_ROWS = 1_000_000
 # A table with at most this many rows (one per group or block) may be broadcast.
 BROADCAST_ROWS = 100_000
 # A group is hot when it holds more than 1/HOT_PARTS of all rows: at most HOT_PARTS of them.
@@ -101,13 +101,10 @@ def ordered_counts(
     aggs = {"n": F.lit(1).cast("bigint"), **(sums or {})}
     by = list(by)
     rows = df.select(*[F.col(b) for b in by], num(value).alias("value"), *[c.alias(f"_w_{n}") for n, c in aggs.items()])
-    counts = (
-        rows.where(F.col("value").isNotNull())
-        .groupBy(*by, "value")
-        .agg(*[F.sum(f"_w_{n}").alias(f"_c_{n}") for n in aggs])
-    )
+    counts = settle(rows.groupBy(*by, "value").agg(*[F.sum(f"_w_{n}").alias(f"_c_{n}") for n in aggs]))
+    counts = counts.where(F.col("value").isNotNull())
     order = F.col("value").desc() if descending else F.col("value").asc()
-    out = running(settle(counts), by, [order], {n: ("sum", F.col(f"_c_{n}")) for n in aggs}, totals=True)
+    out = running(counts, by, [order], {n: ("sum", F.col(f"_c_{n}")) for n in aggs}, totals=True)
     shaped = []
     for n in aggs:
         shaped += [

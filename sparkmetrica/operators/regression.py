@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import warnings
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -150,13 +151,14 @@ class Fit:
         return {n: self.columns[n] for n in [self.y, *self.x, *[z for z in self.z if z not in self.x]]}
 
     def rows(self, df: DataFrame, keep=(), **columns: Column) -> DataFrame:
-        """Expressions over the complete rows of ``df``, evaluated on its columns."""
-        ok = None
-        for c in self.used().values():
-            ok = c.isNotNull() if ok is None else ok & c.isNotNull()
+        """Expressions over the rows of ``df``, NULL where a variable is missing.
+
+        Nothing is filtered: see :func:`moments.complete_rows`.
+        """
+        ok = reduce(lambda a, b: a & b, [c.isNotNull() for c in self.used().values()])
         if self.weight:
             ok = ok & (num(self.weight) > 0)
-        return df.where(ok).select(*keep, *[c.alias(n) for n, c in columns.items()])
+        return df.select(*keep, *[F.when(ok, c).alias(n) for n, c in columns.items()])
 
 
 def independent(s: np.ndarray) -> list[int]:
@@ -248,7 +250,10 @@ def cluster_cov(fit: Fit, df: DataFrame, by: str, kind: str = "CR1") -> Fit:
     A cluster of any size is summed on the map side; only k+1 sums per cluster move.
     """
     rows, scores = _score_rows(fit, df, keep=[by])
-    sums = rows.where(F.col(by).isNotNull()).groupBy(by).agg(*[F.sum(s).alias(s) for s in scores], F.count(F.lit(1)).alias("_n"))
+    sums = rows.where(F.col(by).isNotNull()).groupBy(by).agg(
+        *[F.sum(s).alias(s) for s in scores], F.count(scores[0]).alias("_n")
+    )
+    sums = sums.where("_n > 0")
     meat = pair_sums(sums, [F.col(s) for s in scores] + [F.lit(1.0)])
     g = meat[-1, -1]
     factor = 1.0 if kind == "CR0" else g / (g - 1) * (fit.n - 1) / fit.df_resid
@@ -347,7 +352,8 @@ def residual_normality(fit: Fit, df: DataFrame) -> DataFrame:
 
 
 def influence(fit: Fit, df: DataFrame) -> DataFrame:
-    """Rows with fitted value, leverage, studentised residuals and Cook's distance."""
+    """Rows with fitted value, leverage, studentised residuals and Cook's distance
+    (NULL where a variable is missing)."""
     s2, k = fit.rss / fit.df_resid, len(fit.x) + 1
     rows = fit.rows(df, df.columns, fitted=fit.fitted(), residual=fit.residual(), leverage=fit.leverage())
     e, h = F.col("residual"), F.col("leverage")

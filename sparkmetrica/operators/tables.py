@@ -30,7 +30,9 @@ def profile(df: DataFrame, columns=None, exact: bool = False) -> DataFrame:
     """One row per column: counts, missing share, distinct, range, moments.
 
     One aggregate job for all columns. ``distinct`` is approximate unless
-    ``exact``. Moments are NULL for columns that are not numeric.
+    ``exact``, which scans each column by itself: one aggregate with several
+    exact distinct counts would copy every row once per column. Moments are NULL
+    for columns that are not numeric.
     """
     columns = list(columns or df.columns)
     clean = nan_to_null(df.select(*columns))
@@ -40,7 +42,7 @@ def profile(df: DataFrame, columns=None, exact: bool = False) -> DataFrame:
         value = F.col(c).cast("double") if numeric else F.lit(None).cast("double")
         parts = {
             "count": F.count(c),
-            "distinct": F.count_distinct(F.col(c)) if exact else F.approx_count_distinct(c),
+            "distinct": F.approx_count_distinct(c),
             "min": F.min(c).cast("string"),
             "max": F.max(c).cast("string"),
             "mean": F.avg(value),
@@ -48,14 +50,18 @@ def profile(df: DataFrame, columns=None, exact: bool = False) -> DataFrame:
             "skewness": F.skewness(value),
             "kurtosis": F.kurtosis(value),
         }
+        if exact:
+            del parts["distinct"]
         aggs += [e.alias(f"_{i}_{n}") for n, e in parts.items()]
         got = {n: F.col(f"_{i}_{n}") for n in parts}
+        if exact:
+            got["distinct"] = clean.agg(F.count_distinct(F.col(c))).scalar()
         missing = F.col("_n") - got["count"]
         shaped[c] = {
             "count": got["count"],
             "missing": missing,
             "missing_share": ratio(missing, F.col("_n")),
-            **{n: got[n] for n in list(parts)[1:]},
+            **{n: got[n] for n in ("distinct", "min", "max", "mean", "sd", "skewness", "kurtosis")},
         }
     return _flat(clean.agg(*aggs), shaped, "column")
 

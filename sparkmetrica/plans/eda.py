@@ -430,6 +430,7 @@ def topk_dense(spark, folder):
       o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey) AS deviation FROM orders
     """,
     "share deviation",
+    digits=3,
 )
 def group_share(spark, folder):
     shared = X.add_group_share(load(spark, folder, "orders"), ["o_custkey"], "o_totalprice")

@@ -40,9 +40,9 @@ def query(name: str, oracle: str | None = None, floats: str = "", digits: int =
     return register
 
 
-def sql_uniform(key: str, seed: str) -> str:
+def sql_uniform(key: str, seed: str, part: int = 0) -> str:
     """SQL text of the hash-based uniform number."""
-    return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::bigint::double / 4294967296.0)"
+    return f"(('0x' || substr(md5('{seed}:' || {key}), {1 + 8 * part}, 8))::bigint::double / 4294967296.0)"
 
 
 # Tail probabilities for the oracles, by Simpson's rule on the textbook densities.

@@ -23,15 +23,15 @@ HOMES_SQL = f"""
     SELECT l_orderkey, l_linenumber, l_suppkey, l_linestatus, l_returnflag, (20 + 2 * l_quantity) AS area, dist, ln(20 + 2 * l_quantity) AS ln_area,
       8 + 0.9 * ln(20 + 2 * l_quantity) - 0.04 * dist + 0.01 * (l_suppkey % 7)
         + 0.02 * (h1 + h2 - 1) * sqrt(20 + 2 * l_quantity) AS ln_price
-    FROM (SELECT *, 1 + 14 * {sql_uniform(_KEY_SQL, 'dist')} AS dist, {sql_uniform(_KEY_SQL, 'h1')} AS h1, {sql_uniform(_KEY_SQL, 'h2')} AS h2 FROM lineitem)
+    FROM (SELECT *, 1 + 14 * {sql_uniform(_KEY_SQL, 'home')} AS dist, {sql_uniform(_KEY_SQL, 'home', 1)} AS h1, {sql_uniform(_KEY_SQL, 'home', 2)} AS h2 FROM lineitem)
 """
 
 
 def homes(spark, folder):
     """ln(price) = 8 + 0.9 ln(area) - 0.04 distance + supplier effect + noise that grows with area."""
     area = 20 + 2 * F.col("l_quantity")
-    dist = 1 + 14 * hash_uniform(ROW_KEY, "dist")
-    noise = F.lit(0.02) * (hash_uniform(ROW_KEY, "h1") + hash_uniform(ROW_KEY, "h2") - 1)
+    dist = 1 + 14 * hash_uniform(ROW_KEY, "home")
+    noise = F.lit(0.02) * (hash_uniform(ROW_KEY, "home", 1) + hash_uniform(ROW_KEY, "home", 2) - 1)
     rows = load(spark, folder, "lineitem").withColumns({"area": area, "dist": dist, "ln_area": F.ln(area), "_noise": noise})
     price = 8 + F.lit(0.9) * F.col("ln_area") - F.lit(0.04) * F.col("dist") + F.lit(0.01) * (F.col("l_suppkey") % 7)
     return rows.withColumn("ln_price", price + F.col("_noise") * F.sqrt("area")).select(
@@ -282,14 +282,17 @@ def residual_normality(spark, folder):
 @query(
     "influence",
     f"""{fit2_sql(HOMES_SQL)}, t AS (SELECT e.*, s2, rss FROM e, q)
-    SELECT l_orderkey, l_linenumber, ln_price - e AS fitted, e AS residual, h AS leverage, e / sqrt(s2 * (1 - h)) AS student,
-      e / sqrt((rss - e * e / (1 - h)) / (n - 4) * (1 - h)) AS student_ext, e * e / (3 * s2) * h / (1 - h) ** 2 AS cooks_d FROM t""",
-    "fitted residual leverage student student_ext cooks_d",
+    SELECT l_orderkey, l_linenumber, ln_price - e AS fitted, e AS residual, n * h AS leverage_n, e / sqrt(s2 * (1 - h)) AS student,
+      e / sqrt((rss - e * e / (1 - h)) / (n - 4) * (1 - h)) AS student_ext, n * e * e / (3 * s2) * h / (1 - h) ** 2 AS cooks_n FROM t""",
+    "fitted residual leverage_n student student_ext cooks_n",
+    digits=4,
 )
 def influence(spark, folder):
     rows = homes(spark, folder)
-    got = R.influence(R.ols(rows, Y, X), rows)
-    return got.select("l_orderkey", "l_linenumber", "fitted", "residual", "leverage", "student", "student_ext", "cooks_d")
+    fit = R.ols(rows, Y, X)
+    scaled = [(F.col("leverage") * fit.n).alias("leverage_n"), (F.col("cooks_d") * fit.n).alias("cooks_n")]
+    got = R.influence(fit, rows)
+    return got.select("l_orderkey", "l_linenumber", "fitted", "residual", "student", "student_ext", *scaled)
 
 
 def _model_sql(name: str, k: int, rss: str) -> str:
@@ -414,6 +417,7 @@ def elastic_net(spark, folder):
     "predict",
     f"{fit2_sql(HOMES_SQL)} SELECT l_orderkey, l_linenumber, ln_price - e AS predicted FROM e",
     "predicted",
+    digits=4,
 )
 def predict(spark, folder):
     rows = homes(spark, folder)
@@ -440,15 +444,17 @@ def factor_effects(spark, folder):
     return R.factor_effects(R.ols(homes(spark, folder), Y, X), spark)
 
 
+# source term, hash seed and part of the hash
+HIDDEN = [("z1", "iv", 0), ("z2", "iv", 1), ("w", "iv", 2), ("u", "iv", 3), ("e1", "noise", 0), ("e2", "noise", 1)]
 HIDDEN_SQL = f"""
     SELECT z1, z2, w, z1 + 0.5 * z2 + 0.8 * u + e1 AS x, 1 + 2 * (z1 + 0.5 * z2 + 0.8 * u + e1) + 0.3 * w + u + e2 AS y, l_suppkey FROM (SELECT l_suppkey,
-    """ + ", ".join(f"{sql_uniform(_KEY_SQL, c)} - 0.5 AS {c}" for c in ("z1", "z2", "w", "u", "e1", "e2")) + " FROM lineitem)"
+    """ + ", ".join(f"{sql_uniform(_KEY_SQL, s, i)} - 0.5 AS {c}" for c, s, i in HIDDEN) + " FROM lineitem)"
 
 
 def hidden(spark, folder):
     """x depends on the hidden u, and so does y: the slope 2 is biased in least squares."""
     rows = load(spark, folder, "lineitem").select(
-        "l_suppkey", *[(hash_uniform(ROW_KEY, c) - 0.5).alias(c) for c in ("z1", "z2", "w", "u", "e1", "e2")]
+        "l_suppkey", *[(hash_uniform(ROW_KEY, s, i) - 0.5).alias(c) for c, s, i in HIDDEN]
     )
     rows = rows.withColumn("x", F.col("z1") + 0.5 * F.col("z2") + 0.8 * F.col("u") + F.col("e1"))
     y = 1 + 2 * F.col("x") + 0.3 * F.col("w") + F.col("u") + F.col("e2")
