@@ -114,7 +114,8 @@ def permutation_test(df: DataFrame, unit: str, arm: str, y: str, B: int = 200, s
     called treated; the order is found by cumulative counts, not by one big sort.
     """
     rows = df.select(F.col(unit).alias("unit"), F.col(arm).alias("arm"), num(y).alias("y"))
-    rows = rows.where(F.col("arm").isin(list(arms)) & F.col("y").isNotNull())
+    # one row per unit: computed once, since the replicates are counted, sampled and sorted
+    rows = settle(rows.where(F.col("arm").isin(list(arms)) & F.col("y").isNotNull()))
     facts = rows.agg(
         F.count_if(F.col("arm") == arms[1]).alias("n1"),
         F.count_if(F.col("arm") == arms[0]).alias("n0"),

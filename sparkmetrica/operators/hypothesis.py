@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkmetrica.functions.dist import norm_quantile, p_chi2, p_f, p_kolmogorov, p_norm, p_t, t_crit
 from sparkmetrica.functions.scalars import col, num, ratio
-from sparkmetrica.operators.order import avg_rank, exact_quantiles, join_back, ordered_counts
+from sparkmetrica.operators.order import all_ranks, exact_quantiles, join_back, ordered_counts
 from sparkmetrica.session import settle
 
 ARMS = (0, 1)  # control, treatment
@@ -244,9 +244,7 @@ def corr_test(df: DataFrame, a: str, b: str, kind: str = "pearson") -> DataFrame
     """Correlation and its t-test on complete pairs; ``spearman`` uses mid-ranks."""
     rows = df.select(num(a).alias("a"), num(b).alias("b")).dropna()
     if kind == "spearman":
-        rows = avg_rank(avg_rank(rows, "a", name="_a"), "b", name="_b").select(
-            F.col("_a").alias("a"), F.col("_b").alias("b")
-        )
+        rows = all_ranks(rows, ["a", "b"])
     out = rows.agg(F.count("a").alias("n"), F.corr("a", "b").alias("r"))
     out = out.withColumn("df", F.col("n") - 2)
     out = out.withColumn("t", F.col("r") * F.sqrt(ratio("df", 1 - sq(F.col("r")))))

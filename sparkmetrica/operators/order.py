@@ -148,19 +148,38 @@ def join_back(rows: DataFrame, stats: DataFrame, keys, size: str) -> DataFrame:
     )
 
 
-def avg_rank(df: DataFrame, column: str, by=(), name: str = "rank") -> DataFrame:
-    """Adds the mid-rank (ties share the average) of ``column`` within ``by``."""
-    counts = ordered_counts(df, column, by)
-    ranks = counts.select(
+def rank_table(df: DataFrame, column: str, by=(), name: str = "rank") -> DataFrame:
+    """Mid-rank (ties share the average) of each distinct value, for :func:`add_rank`."""
+    return ordered_counts(df, column, by).select(
         *by,
         F.col("value").alias("_value"),
         (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(name),
         F.col("n").alias("_n"),
     )
+
+
+def add_rank(df: DataFrame, ranks: DataFrame, column: str, by=()) -> DataFrame:
     rows = df.withColumn("_value", num(column))
     return join_back(rows, ranks, [*by, "_value"], "_n").drop("_value", "_n")
 
 
+def avg_rank(df: DataFrame, column: str, by=(), name: str = "rank") -> DataFrame:
+    """Adds the mid-rank of ``column`` within ``by``."""
+    return add_rank(df, rank_table(df, column, by, name), column, by)
+
+
+def all_ranks(df: DataFrame, columns) -> DataFrame:
+    """Every column replaced by its mid-ranks.
+
+    All rank tables are made from ``df`` itself before the first join, so no join
+    is computed again for the next column.
+    """
+    tables = {c: rank_table(df, c, name=f"_rank_{c}") for c in columns}
+    for c, ranks in tables.items():
+        df = add_rank(df, ranks, c)
+    return df.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
+
+
 def quantile_name(p: float) -> str:
     return "q" + f"{p * 100:g}".replace(".", "_")
 
@@ -196,17 +215,16 @@ def quantiles_of(counts: DataFrame, probs, by=(), n: str = "n") -> DataFrame:
     return picked.select(*by, F.col("n"), *out)
 
 
-def with_halo(df: DataFrame, order, by, back: int, ahead: int, block_rows: int, specs: dict) -> DataFrame:
+def with_halo(placed: DataFrame, by, back: int, ahead: int, block_rows: int, specs: dict) -> DataFrame:
     """Window columns that look at most ``back`` rows back and ``ahead`` rows on.
 
-    Rows are numbered, cut into blocks of ``block_rows`` consecutive rows, and
-    each block gets copies of the neighbours its windows can see; copies are
-    dropped afterwards. ``specs`` maps a name to ``f(window) -> Column``.
+    ``placed`` has the place ``pos`` of each row in its group. Rows are cut into
+    blocks of ``block_rows`` consecutive places, and each block gets copies of the
+    neighbours its windows can see; copies are dropped afterwards. ``specs`` maps
+    a name to ``f(window) -> Column``.
     """
     if block_rows <= max(back, ahead):
         raise ValueError("block_rows must exceed the reach of the window")
-    by = list(by)
-    placed = positions(df, order, by).drop("pos_total")
     at = F.col("pos") - 1
     home = F.floor(at / F.lit(block_rows))
     inside = F.pmod(at, F.lit(block_rows))
@@ -218,7 +236,7 @@ def with_halo(df: DataFrame, order, by, back: int, ahead: int, block_rows: int,
     copies = placed.withColumn("_home", home).withColumn("_cut", F.explode(F.array_compact(homes)))
     window = Window.partitionBy(*by, "_cut").orderBy("pos")
     out = copies.withColumns({name: build(window) for name, build in specs.items()})
-    return out.where("_cut = _home").drop("_cut", "_home", "pos")
+    return out.where("_cut = _home").drop("_cut", "_home")
 
 
 def union_all(frames) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmetrica.functions.scalars import nan_to_null, num, ratio
 from sparkmetrica.operators import order as O
-from sparkmetrica.operators.order import avg_rank, exact_quantiles, join_back, ordered_counts
+from sparkmetrica.operators.order import exact_quantiles, join_back, ordered_counts
 
 
 def _is_numeric(df: DataFrame, c: str) -> bool:
@@ -29,31 +27,32 @@ def _flat(row: DataFrame, columns: dict, first: str) -> DataFrame:
 def profile(df: DataFrame, columns=None, exact: bool = False) -> DataFrame:
     """One row per column: counts, missing share, distinct, range, moments.
 
-    One aggregate job for all columns. ``distinct`` is approximate unless
+    One aggregation for the numeric columns and one for the others: a minimum of
+    text would take the sort-based plan, and slow the numeric ones down with it.
+    Neither reads a column of the other. ``distinct`` is approximate unless
     ``exact``, which scans each column by itself: one aggregate with several
     exact distinct counts would copy every row once per column. Moments are NULL
     for columns that are not numeric.
     """
     columns = list(columns or df.columns)
     clean = nan_to_null(df.select(*columns))
+    kinds = [[c for c in columns if _is_numeric(df, c) == numeric] for numeric in (True, False)]
+    return O.union_all([_profile(clean, names, exact) for names in kinds if names])
+
+
+def _profile(clean: DataFrame, columns, exact: bool) -> DataFrame:
     aggs, shaped = [F.count(F.lit(1)).alias("_n")], {}
     for i, c in enumerate(columns):
-        numeric = _is_numeric(df, c)
-        value = F.col(c).cast("double") if numeric else F.lit(None).cast("double")
-        parts = {
-            "count": F.count(c),
-            "distinct": F.approx_count_distinct(c),
-            "min": F.min(c).cast("string"),
-            "max": F.max(c).cast("string"),
-            "mean": F.avg(value),
-            "sd": F.stddev_samp(value),
-            "skewness": F.skewness(value),
-            "kurtosis": F.kurtosis(value),
-        }
-        if exact:
-            del parts["distinct"]
+        numeric = _is_numeric(clean, c)
+        value = F.col(c).cast("double")
+        parts = {"count": F.count(c), "min": F.min(c).cast("string"), "max": F.max(c).cast("string")}
+        moments = {"mean": F.avg, "sd": F.stddev_samp, "skewness": F.skewness, "kurtosis": F.kurtosis}
+        if numeric:
+            parts |= {n: f(value) for n, f in moments.items()}
+        if not exact:
+            parts["distinct"] = F.approx_count_distinct(c)
         aggs += [e.alias(f"_{i}_{n}") for n, e in parts.items()]
-        got = {n: F.col(f"_{i}_{n}") for n in parts}
+        got = {n: F.lit(None).cast("double") for n in moments} | {n: F.col(f"_{i}_{n}") for n in parts}
         if exact:
             got["distinct"] = clean.agg(F.count_distinct(F.col(c))).scalar()
         missing = F.col("_n") - got["count"]
@@ -61,7 +60,7 @@ def profile(df: DataFrame, columns=None, exact: bool = False) -> DataFrame:
             "count": got["count"],
             "missing": missing,
             "missing_share": ratio(missing, F.col("_n")),
-            **{n: got[n] for n in ("distinct", "min", "max", "mean", "sd", "skewness", "kurtosis")},
+            **{n: got[n] for n in ("distinct", "min", "max", *moments)},
         }
     return _flat(clean.agg(*aggs), shaped, "column")
 
@@ -178,10 +177,7 @@ def correlations(df: DataFrame, columns, kind: str = "pearson") -> DataFrame:
     columns = list(columns)
     rows = df.select(*[num(c).alias(c) for c in columns])
     if kind == "spearman":
-        rows = rows.dropna()
-        for c in columns:
-            rows = avg_rank(rows, c, name=f"_rank_{c}")
-        rows = rows.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
+        rows = O.all_ranks(rows.dropna(), columns)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     row = rows.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     found = {pair: F.col(f"_{i}") for i, pair in enumerate(pairs)}
@@ -294,12 +290,10 @@ def add_window(df: DataFrame, by, order, spec: dict, large_group: int = 5_000_00
         columns = {n: build(s)(window) for n, s in reach.items()}
         columns |= {n: F.sum(num(s[1])).over(upto) for n, s in spec.items() if s[0] == "running"}
         return df.withColumns(columns).select(*df.columns, *spec)
-    totals = {n: ("sum", num(s[1])) for n, s in spec.items() if s[0] == "running"}
-    out = df
-    if totals:
-        out = O.running(out, by, order, totals)
+    aggs = {n: ("sum", num(s[1])) for n, s in spec.items() if s[0] == "running"}
+    out = O.running(df, by, order, {**aggs, "pos": ("sum", F.lit(1).cast("bigint"))})
     if reach:
-        out = O.with_halo(out, order, by, back, 0, max(block_rows, back + 1), {n: build(s) for n, s in reach.items()})
+        out = O.with_halo(out, by, back, 0, max(block_rows, back + 1), {n: build(s) for n, s in reach.items()})
     return out.select(*df.columns, *spec)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkmetrica.operators import classify as C
 from sparkmetrica.plans.registry import query, sql_uniform
+from sparkmetrica.session import settle
 from sparkmetrica.sources.tables import load
 
 SCORED_SQL = """SELECT l_orderkey, l_linenumber, l_partkey, (l_returnflag = 'R')::int::double AS label, round(l_quantity / 51 + l_discount / 5, 2) / 1.2 AS score FROM lineitem"""
@@ -143,7 +144,10 @@ def naive_bayes_closed_form(spark, folder):
 
 
 def documents(spark, folder):
-    """Labelled documents with features of the whole text; copies share a group key."""
+    """Labelled documents with features of the whole text; copies share a group key.
+
+    The texts are read once: only the features feed the fits that follow.
+    """
     docs, labels = load(spark, folder, "documents"), load(spark, folder, "labels")
     n = F.greatest(F.length("text"), F.lit(1))
     letters = F.length(F.regexp_replace("text", r"\P{L}+", "")) / n
@@ -153,7 +157,7 @@ def documents(spark, folder):
         (n / words).alias("word_length"), F.ln(n.cast("double")).alias("ln_chars"),
         (F.length(F.regexp_replace("text", r"[^0-9]+", "")) / n).alias("digit_share"), F.md5("text").alias("copy_key"),
     )
-    return C.split(rows, "copy_key", 0.7)
+    return settle(C.split(rows, "copy_key", 0.7))
 
 
 NUMERIC = ["letter_share", "word_length", "ln_chars", "digit_share"]
