@@ -104,13 +104,15 @@ def matmul(a: DataFrame, b: DataFrame, block: int = 256) -> DataFrame:
 
     def multiply(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         bi, bk, bj = key
-        m = np.zeros((block, block))
-        n = np.zeros((block, block))
-        m[x["i"] - bi * block, x["j"] - bk * block] = x["v"]
-        n[y["i"] - bk * block, y["j"] - bj * block] = y["v"]
-        reached = np.outer(np.isin(np.arange(block), x["i"] - bi * block), np.isin(np.arange(block), y["j"] - bj * block))
-        i, j = np.nonzero(reached)
-        return pd.DataFrame({"i": i + bi * block, "j": j + bj * block, "v": (m @ n)[i, j]})
+        # second layer: 1 where there is an entry, so that absent cells stay absent
+        m, n = np.zeros((2, block, block)), np.zeros((2, block, block))
+        mi, mj = x["i"] - bi * block, x["j"] - bk * block
+        ni, nj = y["i"] - bk * block, y["j"] - bj * block
+        m[0, mi, mj], m[1, mi, mj] = x["v"], 1.0
+        n[0, ni, nj], n[1, ni, nj] = y["v"], 1.0
+        product = m @ n
+        i, j = np.nonzero(product[1])
+        return pd.DataFrame({"i": i + bi * block, "j": j + bj * block, "v": product[0, i, j]})
 
     keys = ["bi", "bk", "bj"]
     partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(

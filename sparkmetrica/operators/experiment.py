@@ -72,7 +72,8 @@ def bootstrap_reps(df: DataFrame, unit: str, arm: str, y: str, B: int, seed: str
     """Poisson bootstrap: the statistic of both arms and their difference per replicate.
 
     ``df`` is one row per unit. Weights are hashes of (replicate, unit), so every
-    partition resamples its own rows and sends one partial sum per replicate.
+    partition resamples its own rows and sends one partial sum per replicate. A
+    replicate whose denominator is zero in an arm has no difference: NULL there.
     """
     columns = [F.col(unit).alias("unit"), F.col(arm).alias("arm"), num(y).alias("y")]
     columns += [num(den).alias("den")] if den else []

@@ -153,7 +153,7 @@ SUMMARY_SQL = """
 @query(
     "bootstrap_mean",
     _reps_sql(100, "boot")
-    + """, d AS (SELECT rep, sum(w * y) FILTER (arm = 1) / sum(w) FILTER (arm = 1) - sum(w * y) FILTER (arm = 0) / sum(w) FILTER (arm = 0) AS diff
+    + """, d AS (SELECT rep, sum(w * y) FILTER (arm = 1) / nullif(sum(w) FILTER (arm = 1), 0) - sum(w * y) FILTER (arm = 0) / nullif(sum(w) FILTER (arm = 0), 0) AS diff
       FROM w GROUP BY rep)"""
     + SUMMARY_SQL,
     "mean_diff se ci_lo ci_hi",
@@ -165,8 +165,8 @@ def bootstrap_mean(spark, folder):
 @query(
     "bootstrap_ratio",
     _reps_sql(100, "ratio")
-    + """, d AS (SELECT rep, sum(w * clicks) FILTER (arm = 1) / (sum(w * views) FILTER (arm = 1))::double
-      - sum(w * clicks) FILTER (arm = 0) / (sum(w * views) FILTER (arm = 0))::double AS diff FROM w GROUP BY rep)"""
+    + """, d AS (SELECT rep, sum(w * clicks) FILTER (arm = 1) / nullif(sum(w * views) FILTER (arm = 1), 0)::double
+      - sum(w * clicks) FILTER (arm = 0) / nullif(sum(w * views) FILTER (arm = 0), 0)::double AS diff FROM w GROUP BY rep)"""
     + SUMMARY_SQL,
     "mean_diff se ci_lo ci_hi",
 )

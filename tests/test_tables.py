@@ -64,6 +64,12 @@ def test_matmul_against_numpy(spark, block):
     np.testing.assert_allclose(out, a @ b)
 
 
+def test_matmul_gives_no_cells_without_a_common_index(spark):
+    a = spark.createDataFrame([(0, 0, 2.0), (1, 1, 3.0), (1, 1, 1.0), (2, 0, 0.0)], "i bigint, j bigint, v double")
+    b = spark.createDataFrame([(0, 5, 7.0), (9, 0, 1.0)], "i bigint, j bigint, v double")
+    assert sorted(map(tuple, A.matmul(a, b, 4).collect())) == [(0, 5, 14.0), (2, 5, 0.0)]
+
+
 def test_gram_is_the_same_on_any_partitioning(spark):
     r = np.random.default_rng(2).normal(size=(200, 4))
     rows = spark.createDataFrame([(list(map(float, v)),) for v in r], "x array<double>")
