@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -458,10 +459,16 @@ def within(df: DataFrame, by, y: str, x) -> Fit:
     return fit
 
 
-def _assemble(df: DataFrame, y: str, x, weight=None) -> DataFrame:
+def _fit_ml(estimator, df: DataFrame, y: str, x, weight=None):
+    """Fits a Spark ML estimator on the complete rows; they are kept while it iterates."""
     extra = [num(weight).alias("_w")] if weight else []
-    rows = df.select(num(y).alias("_y"), *[num(c).alias(f"_x{i}") for i, c in enumerate(x)], *extra).dropna()
-    return VectorAssembler(inputCols=[f"_x{i}" for i in range(len(x))], outputCol="_f").transform(rows)
+    rows = df.select(num(y).alias("_y"), *[num(c).alias(f"_x{i}") for i, c in enumerate(x)], *extra)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        assembler = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(x))], outputCol="_f")
+        return estimator.fit(assembler.transform(rows.dropna()))
+    finally:
+        rows.unpersist()
 
 
 def glm(df: DataFrame, y: str, x, family: str, link: str | None = None, weight: str | None = None) -> DataFrame:
@@ -472,7 +479,7 @@ def glm(df: DataFrame, y: str, x, family: str, link: str | None = None, weight:
     )
     if weight:
         model = model.setWeightCol("_w")
-    got = model.fit(_assemble(df, y, x, weight))
+    got = _fit_ml(model, df, y, x, weight)
     s = got.summary
     order = [len(x), *range(len(x))]  # Spark lists the intercept last
     coefs = [*got.coefficients.toArray(), got.intercept]
@@ -490,7 +497,7 @@ def penalized(df: DataFrame, y: str, x, strength: float, mix: float = 0.0, weigh
     )
     if weight:
         model = model.setWeightCol("_w")
-    got = model.fit(_assemble(df, y, x, weight))
+    got = _fit_ml(model, df, y, x, weight)
     rows = [(CONST, float(got.intercept)), *[(c, float(b)) for c, b in zip(x, got.coefficients)]]
     return df.sparkSession.createDataFrame(rows, "term string, coef double")
 
