@@ -137,7 +137,8 @@ def join_back(rows: DataFrame, stats: DataFrame, keys, size: str) -> DataFrame:
     # The spread number sits inside the join key: as a column of its own the
     # optimizer would turn it into a filter and all hot rows would meet again.
     cold = packed.where(~is_hot).select(F.struct("_k", F.lit(0).alias("_spread")).alias("_j"), "_s")
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(65536)).cast("int")
+    hashable = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    spread = F.pmod(F.xxhash64(*hashable), F.lit(65536)).cast("int")
     home = F.struct(
         F.when(F.col("_hot").isNull(), F.col("_k")).alias("_k"),
         F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(spread).alias("_spread"),

@@ -234,9 +234,13 @@ def dedupe(df: DataFrame, keys=None, order=None) -> DataFrame:
     """
     if keys is None:
         return df.distinct()
-    row = F.struct(*df.columns)
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*(rest or keys))
     best = F.max_by(row, F.struct(*order)) if order else F.max(row)
-    return df.groupBy(*keys).agg(best.alias("_row")).select("_row.*")
+    # keys come from the grouping, so a later join on them needs no other shuffle
+    kept = {c: F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns}
+    return df.groupBy(*keys).agg(best.alias("_row")).select(*kept.values())
 
 
 def topk(df: DataFrame, by, order, k: int, method: str = "row_number") -> DataFrame:

@@ -129,6 +129,19 @@ def test_urls_and_listings(spark):
     assert sorted(r["id"] for r in kept.collect()) == [2, 3] and kept.columns == rows.columns
 
 
+def test_snapshot_difference_shuffles_each_side_once(spark):
+    orders = load(spark, "/root/testdata/sf0.001", "orders")
+    sides = [P.snapshot(orders, "o_custkey", "o_orderdate", F.lit(d).cast("timestamp_ntz"), "o_orderkey") for d in ("1996-12-31", "1998-12-31")]
+    plan = P.diff(*sides, "o_custkey", ["o_orderkey"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_dedupe_keeps_one_whole_row_per_key(spark):
+    rows = spark.createDataFrame([("a", 1, 5, "x"), ("a", 2, 5, "y"), (None, 1, 1, "z"), (None, 0, 9, "w")], "k string, i int, t int, s string")
+    assert sorted(X.dedupe(rows, ["k"], ["t", "i"]).collect(), key=str) == sorted([("a", 2, 5, "y"), (None, 0, 9, "w")], key=str)
+    assert X.dedupe(rows.union(rows)).count() == 4
+
+
 def test_snapshots_and_their_difference(spark):
     rows = spark.createDataFrame([("a", "2024-01-01", 1.0, 1), ("a", "2024-03-01", 2.0, 2), ("b", "2024-01-05", 5.0, 3), ("c", "2024-02-20", 7.0, 4)], "k string, d string, p double, i int")
     first, second = P.snapshot(rows, "k", "d", "2024-01-31", "i"), P.snapshot(rows, "k", "d", "2024-03-31", "i")
