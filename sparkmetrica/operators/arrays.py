@@ -96,11 +96,13 @@ def matmul(a: DataFrame, b: DataFrame, block: int = 256) -> DataFrame:
 
     left = left.withColumns({"bi": cut("i"), "bk": cut("j")})
     right = right.withColumns({"bk": cut("i"), "bj": cut("j")})
-    # which blocks of the other matrix each block has to meet
-    left_blocks = left.groupBy("bk").agg(F.collect_set("bi").alias("targets"))
-    right_blocks = right.groupBy("bk").agg(F.collect_set("bj").alias("targets"))
-    left = left.join(right_blocks, "bk").withColumn("bj", F.explode("targets")).drop("targets")
-    right = right.join(left_blocks, "bk").withColumn("bi", F.explode("targets")).drop("targets")
+    # the products of blocks to be made; entries are then joined by their own block,
+    # so that a dense inner range does not gather in one task
+    products = left.select("bi", "bk").distinct().join(right.select("bk", "bj").distinct(), "bk")
+    # both sides of the cogroup descend from one table: fresh columns on the right
+    others = products.select(*[F.col(c).alias(c) for c in ("bk", "bi", "bj")])
+    left = left.join(products, ["bi", "bk"])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns]).join(others, ["bk", "bj"])
 
     def multiply(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         bi, bk, bj = key

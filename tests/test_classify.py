@@ -89,3 +89,21 @@ def test_missing_scores_are_left_out(spark):
     rows = spark.createDataFrame([(1.0, 0.9), (0.0, 0.1), (1.0, None), (None, 0.5)], "label double, p double")
     got = C.proper_scores(rows, "label", "p").first()
     assert got["n"] == 2 and got["brier"] == pytest.approx(0.01)
+
+
+def test_binned_features(spark):
+    rows = spark.range(100).select((F.col("id") / 10).alias("x"), F.when(F.col("id") % 9 != 0, F.col("id").cast("double")).alias("y"))
+    model = C.feature_stages(["x"], binned=["y"], bins=4, scale=False).fit(rows)
+    got = [r["features"].toArray() for r in model.transform(rows).orderBy("x").collect()]
+    assert all(v[1:].sum() == 1 for v in got) and got[0][0] == 0.0 and got[99][0] == 9.9
+    assert got[1][1:].argmax() == 0 and got[98][1:].argmax() == 3
+
+
+def test_tuning_uses_the_same_folds_on_any_partitioning(rows):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    est = LogisticRegression(maxIter=20)
+    grid = ParamGridBuilder().addGrid(est.regParam, [0.001, 1.0]).build()
+    one, two = C.tune(est, grid, rows, "id"), C.tune(est, grid, rows.repartition(3), "id")
+    assert one.avgMetrics == pytest.approx(two.avgMetrics, abs=1e-6) and min(one.avgMetrics) > 0.8

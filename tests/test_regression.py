@@ -100,6 +100,32 @@ def test_singleton_clusters_are_hc(homes, fit):
     np.testing.assert_allclose(each.se, R.robust_cov(fit, homes, "HC0").se, rtol=1e-9)
 
 
+@pytest.mark.parametrize("kind", ["HC0", "HC1", "HC2", "HC3"])
+def test_weighted_robust_errors_do_not_depend_on_the_scale_of_weights(homes, kind):
+    rows = homes.withColumns({"w1": F.lit(1.0), "w9": F.lit(9.0), "wv": 1 / F.col("area"), "wv9": 9 / F.col("area")})
+    x = ["ln_area", "dist"]
+    plain = R.robust_cov(R.ols(rows, "ln_price", x), rows, kind).se
+    se = {w: R.robust_cov(R.wls(rows, "ln_price", x, w), rows, kind).se for w in ("w1", "w9", "wv", "wv9")}
+    np.testing.assert_allclose(se["w1"], plain, rtol=1e-9)
+    np.testing.assert_allclose(se["w9"], plain, rtol=1e-9)
+    np.testing.assert_allclose(se["wv9"], se["wv"], rtol=1e-9)
+
+
+def test_weighted_robust_errors_by_hand(homes):
+    """HC0 of weighted least squares is HC0 of the rows scaled by the root of the weight."""
+    rows = homes.withColumn("w", 1 / F.col("area"))
+    fit = R.robust_cov(R.wls(rows, "ln_price", ["ln_area"], "w"), rows, "HC0")
+    data = rows.select("ln_price", "ln_area", "w").toPandas()
+    root = np.sqrt(data["w"].to_numpy())
+    design = np.column_stack([root, root * data["ln_area"]])
+    y = root * data["ln_price"].to_numpy()
+    bread = np.linalg.inv(design.T @ design)
+    beta = bread @ design.T @ y
+    meat = (design * (y - design @ beta)[:, None]).T @ (design * (y - design @ beta)[:, None])
+    np.testing.assert_allclose(fit.beta, beta, rtol=1e-8)
+    np.testing.assert_allclose(fit.se, np.sqrt(np.diag(bread @ meat @ bread)), rtol=1e-7)
+
+
 def test_wald_of_all_slopes_is_the_overall_f(fit):
     got = R.wald(fit, [[0, 1, 0], [0, 0, 1]])
     assert got["f"] == pytest.approx(fit.measures()["f"], rel=1e-9)

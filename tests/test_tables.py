@@ -64,6 +64,11 @@ def test_matmul_against_numpy(spark, block):
     np.testing.assert_allclose(out, a @ b)
 
 
+def test_matmul_of_a_table_with_itself(spark):
+    m = spark.createDataFrame([(0, 1, 2.0), (1, 0, 3.0), (1, 1, 1.0)], "i bigint, j bigint, v double")
+    assert sorted(map(tuple, A.matmul(m, m, 1).collect())) == [(0, 0, 6.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 7.0)]
+
+
 def test_matmul_gives_no_cells_without_a_common_index(spark):
     a = spark.createDataFrame([(0, 0, 2.0), (1, 1, 3.0), (1, 1, 1.0), (2, 0, 0.0)], "i bigint, j bigint, v double")
     b = spark.createDataFrame([(0, 5, 7.0), (9, 0, 1.0)], "i bigint, j bigint, v double")
@@ -120,6 +125,12 @@ def test_extract_types_and_hits(spark):
     assert (got["pages"], got["hits"], got["typed"]) == (4, 2, 1)
 
 
+def test_extract_all_matches(spark):
+    pages = spark.createDataFrame([("u", "<b>1</b><b>x</b><b>3</b>"), ("v", "")], "url string, html string")
+    got = P.extract(pages, {"n": P.Rule(r"<b>(.*?)</b>", type="int", many=True)}).orderBy("url").collect()
+    assert [(r["n"], r["n_hit"]) for r in got] == [([1, None, 3], True), ([], False)]
+
+
 def test_urls_and_listings(spark):
     rows = spark.createDataFrame(
         [(1, "HTTP://Site.com/Flat/1/?a=b", "2024-01-01"), (2, "http://site.com/Flat/1#top", "2024-02-01"), (3, "http://site.com/Flat/2", "2024-01-01")],
