@@ -427,15 +427,15 @@ def topk_dense(spark, folder):
     "group_share",
     """
     SELECT o_orderkey, o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey) AS share,
-      (o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey)) / 7 AS deviation FROM orders
+      (o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey)) / avg(o_totalprice) OVER (PARTITION BY o_custkey) AS deviation FROM orders
     """,
     "share deviation",
-    digits=3,
 )
 def group_share(spark, folder):
-    """Sevenths of the deviation: means of cents would sit on rounding edges."""
+    """The deviation is given relative to the group mean: means of whole cents sit on rounding edges."""
     shared = X.add_group_share(load(spark, folder, "orders"), ["o_custkey"], "o_totalprice")
-    return shared.select("o_orderkey", "share", (F.col("deviation") / 7).alias("deviation"))
+    mean = F.col("o_totalprice") - F.col("deviation")
+    return shared.select("o_orderkey", "share", (F.col("deviation") / mean).alias("deviation"))
 
 
 WINDOW_SPEC = {"previous": ("lag", "value", 1), "moving": ("moving_mean", "value", 5), "total": ("running", "value")}
