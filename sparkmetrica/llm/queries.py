@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkmetrica.llm import simhash
+from sparkmetrica.llm import decontam, packing, simhash
 from sparkmetrica.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -15,3 +15,31 @@ def op5_simhash(spark, folder):
     return rows.select(
         F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+WORDS_SQL = "list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+DECONTAM_SQL = f"""
+WITH items AS (SELECT item_id, {WORDS_SQL.format('text')} AS w FROM benchmark),
+sized AS (SELECT *, least(len(w), 5) AS n FROM items WHERE len(w) > 0),
+asked AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s FROM sized),
+texts AS (SELECT doc_id, {WORDS_SQL.format('text')} AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
+    FROM texts, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n),
+totals AS (SELECT item_id, count(*) AS shingles FROM asked GROUP BY item_id),
+hits AS (SELECT doc_id, item_id, count(*) AS shared FROM asked JOIN grams USING (n, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared, shingles, shared::double / shingles AS containment FROM hits JOIN totals USING (item_id) WHERE shared >= 0.8 * shingles
+"""
+
+
+@query("op4_decontam", DECONTAM_SQL)
+def op4_decontam(spark, folder):
+    """Benchmark items contained in documents by at least 0.8 of their five-word shingles."""
+    found = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+@query("op8_packing")
+def op8_packing(spark, folder):
+    """Every document's pieces in sequences of 2048 tokens, packed by the grouping genetic algorithm."""
+    found = packing.pack(table(spark, folder, "documents"))
+    return found.withColumnsRenamed({"doc": "doc_id", "crc": "ids_crc32", "sequence": "sequence_id", "place": "offset"})
