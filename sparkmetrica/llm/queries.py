@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkmetrica.llm import decontam, packing, simhash
+from sparkmetrica.llm import decontam, langid, packing, parsing, simhash
 from sparkmetrica.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -43,3 +43,20 @@ def op8_packing(spark, folder):
     """Every document's pieces in sequences of 2048 tokens, packed by the grouping genetic algorithm."""
     found = packing.pack(table(spark, folder, "documents"))
     return found.withColumnsRenamed({"doc": "doc_id", "crc": "ids_crc32", "sequence": "sequence_id", "place": "offset"})
+
+
+@query("op2_parsing")
+def op2_parsing(spark, folder):
+    """Locally consistent fingerprints of every text and of its edited text, and their likeness."""
+    return parsing.compare_neighbours(table(spark, folder, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+@query("op3_langid")
+def op3_langid(spark, folder):
+    """Language of every text by the string kernel, learned where crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    learned = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    model = langid.fit(learned, "doc_id", "text", "lang")
+    found = langid.predict(docs, model)
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
