@@ -56,7 +56,7 @@ U = np.uint64
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit names, so that any of their bits may be used."""
     h = h ^ (h >> U(32))
-    h = h * U(0xD6E8FEB86659FD93)
+    h *= U(0xD6E8FEB86659FD93)
     h ^= h >> U(29)
     h *= U(0x9FB21C651E98DF25)
     h ^= h >> U(32)
@@ -76,14 +76,21 @@ def rolling(names: np.ndarray, length: int) -> np.ndarray:
     while True:
         if length & size:
             left = n - done - size + 1
-            out = piece if out is None else mix(out[:left] * U(0x9E3779B97F4A7C15) + piece[done : done + left])
+            out = piece if out is None else joined(out[:left], piece[done : done + left], 0x9E3779B97F4A7C15)
             done += size
         if done == length:
-            return out
-        piece = mix(piece[:-size] * U(0xC2B2AE3D27D4EB4F) + piece[size:] + U(size))
+            return mix(out)
+        piece = joined(piece[:-size], piece[size:], 0xC2B2AE3D27D4EB4F + 2 * size)
         size *= 2
 
 
+def joined(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
+    h = a * U(by)
+    h += b
+    h ^= h >> U(29)
+    return h
+
+
 def hash_fraction(column: str, seed: int = 7):
     """A number in [0, 1) from a hash of a column; NULL counts as a value."""
     h = F.xxhash64(F.col(column), F.lit(seed))

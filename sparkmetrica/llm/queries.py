@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkmetrica.llm import decontam, langid, packing, parsing, simhash
+from sparkmetrica.llm import anchors, decontam, langid, packing, parsing, simhash
 from sparkmetrica.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -60,3 +60,10 @@ def op3_langid(spark, folder):
     model = langid.fit(learned, "doc_id", "text", "lang")
     found = langid.predict(docs, model)
     return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_anchors")
+def op9_anchors(spark, folder):
+    """Words of every text under a 20-word window that also starts earlier, removed."""
+    kept = anchors.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
