@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkmetrica.llm import anchors, decontam, langid, packing, parsing, simhash
+from sparkmetrica.llm import anchors, decontam, langid, packing, parsing, simhash, suffixes
 from sparkmetrica.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -67,3 +67,10 @@ def op9_anchors(spark, folder):
     """Words of every text under a 20-word window that also starts earlier, removed."""
     kept = anchors.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@query("op7_suffixes")
+def op7_suffixes(spark, folder):
+    """Bytes of every text under a 100-byte string that also starts earlier, removed."""
+    kept = suffixes.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
