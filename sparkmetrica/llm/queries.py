@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkmetrica.llm import anchors, decontam, langid, packing, parsing, simhash, suffixes
+from sparkmetrica.llm import anchors, decontam, langid, packing, parsing, simhash, suffixes, wavelet
 from sparkmetrica.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -74,3 +74,12 @@ def op7_suffixes(spark, folder):
     """Bytes of every text under a 100-byte string that also starts earlier, removed."""
     kept = suffixes.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_wavelet")
+def op6_wavelet(spark, folder):
+    """Token ids of every text, written to wavelet-matrix shards and read back from them."""
+    place = wavelet.shared_folder(spark)
+    wavelet.write_shards(table(spark, folder, "documents"), place)
+    found = wavelet.read_documents(spark, place)
+    return found.select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
