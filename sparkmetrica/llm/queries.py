@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkmetrica.llm import anchors, decontam, langid, packing, parsing, simhash, suffixes, wavelet
+from sparkmetrica.llm import anchors, decontam, langid, packing, parsing, quality, simhash, suffixes, wavelet
 from sparkmetrica.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -83,3 +83,10 @@ def op6_wavelet(spark, folder):
     wavelet.write_shards(table(spark, folder, "documents"), place)
     found = wavelet.read_documents(spark, place)
     return found.select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op1_quality")
+def op1_quality(spark, folder):
+    """Weak label, score and decision of the quality classifier for every document."""
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs)).withColumnRenamed("id", "doc_id")
