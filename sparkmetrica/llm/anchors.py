@@ -25,6 +25,8 @@ from sparkmetrica.llm.common import U, rolling, words
 WINDOW = 20
 LOW = U(0xFFFFFFFF)
 
+ADDED = ("n_words", "n_removed", "span_starts", "span_lengths")
+
 
 class WordBlock:
     """The words of a block of documents in order, and their windows."""
@@ -103,9 +105,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A window is removed if its words also start earlier: in a row with a smaller id (NULL first, equal ids by text), or earlier
     in the same row; windows are judged on the input. The text column becomes the kept words joined by single spaces (NULL and empty
     texts become empty); added are ``n_words``, ``n_removed`` and the removed runs as ``span_starts`` and ``span_lengths`` in words.
-    All other columns are kept; names of added columns must not be among them. Rows equal in id and text: the first keeps its words.
+    All other columns are kept, but for any that is named like an added one. Rows equal in id and text: the first keeps its words.
     """
-    blocks = Blocks(docs, id_col, text_col)
+    blocks = Blocks(docs, id_col, text_col, added=ADDED)
     n = blocks.count
 
     def anchors(key, rows):

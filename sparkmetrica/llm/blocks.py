@@ -109,12 +109,15 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Blocks:
-    """Documents dealt into blocks under names of their own, so that no column of the input clashes."""
+    """Documents dealt into blocks under names of their own, so that no column of the input clashes.
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES):
+    Columns of the input that are named like one of ``added`` are left out.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, added: tuple[str, ...] = ()):
         cuts = Cuts(docs, id_col, text_col, block_bytes)
         self.count = cuts.count
-        self.carried = [c for c in docs.columns if c not in (id_col, text_col)]
+        self.carried = [c for c in docs.columns if c not in (id_col, text_col) and c.lower() not in added]
         self.fields = {f"c{i}": docs.schema[c].dataType for i, c in enumerate(self.carried)}
         self.rows = docs.select(
             cuts.of(F.col(f"`{id_col}`")).alias("block"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"),

@@ -70,7 +70,7 @@ def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col:
     counts = template_words()
     vocabulary = sorted(set().union(*counts))
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    lit = lambda words: F.array(*[F.lit(w) for w in words])
+    lit = lambda words: F.array(*[F.lit(w) for w in words]).cast("array<string>")
     # Document frequencies of the templates' words over all files; "" counts the files.
     present = F.array_union(F.array_intersect(tokens(F.col("text")), lit(vocabulary)), F.array(F.lit("")))
     seen = {r[0]: r[1] for r in rows.where("text IS NOT NULL").select(F.explode(present).alias("word")).groupBy("word").count().collect()}

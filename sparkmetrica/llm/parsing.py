@@ -55,7 +55,7 @@ def parse_level(names: np.ndarray, seg: np.ndarray, level: int) -> tuple[np.ndar
     size = np.diff(np.r_[start, len(names)])
     inside = (np.arange(len(names)) - np.repeat(start, size)).astype(np.uint64)
     total = np.add.reduceat(mix(names + (inside + U(1)) * U(0xC2B2AE3D27D4EB4F)), start)
-    return mix(total + U(level) * U(0x165667B19E3779F9) + size.astype(np.uint64)), seg[start]
+    return mix(total + U(level * 0x165667B19E3779F9 % 2**64) + size.astype(np.uint64)), seg[start]
 
 
 def fingerprints(texts: list[str]) -> tuple[np.ndarray, list[str]]:

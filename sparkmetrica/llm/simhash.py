@@ -163,11 +163,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = similar_documents(docs, id_col, text_col, shingle, tables, distance)
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "text_hash")).alias("best"))
-    best = best.select(F.col("best.doc").alias("_doc"), F.col("best.text_hash").alias("_hash")).distinct()
-    keyed = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
-    same = keyed["_doc"].eqNullSafe(best["_doc"]) & (keyed["_hash"] == best["_hash"])
-    kept = keyed.join(best, same, "left_semi").dropDuplicates(["_doc", "_hash"])
-    return kept.select(*[kept[f"`{c}`"] for c in docs.columns])
+    best = best.select(F.col("best.doc").alias("doc"), F.col("best.text_hash").alias("hash")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no column of the input clashes
+    keyed = docs.toDF(*names)
+    row_id, row_text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    keyed = keyed.withColumns({"row_doc": row_id.cast("long"), "row_hash": F.xxhash64(row_text)})
+    same = keyed["row_doc"].eqNullSafe(best["doc"]) & (keyed["row_hash"] == best["hash"])
+    kept = keyed.join(best, same, "left_semi").dropDuplicates(["row_doc", "row_hash"])
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:

@@ -31,6 +31,8 @@ PART = 1 << 20  # windows handled at once
 BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 PAIR = np.dtype([("anchor", "<u8"), ("run", "<u8")])
 
+ADDED = ("kept", "n_bytes", "n_removed", "span_starts", "span_lengths")
+
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive entries."""
@@ -137,10 +139,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A string is repeated if it also starts earlier: in a row with a smaller id (NULL first, equal ids by text), or earlier in the same row;
     strings never cross documents and are judged on the input. The text column holds the kept bytes as text, less what
     is left of a character that was cut (NULL and empty texts become empty); added are ``kept`` (the kept bytes),
-    ``n_bytes``, ``n_removed`` and the removed runs as ``span_starts`` and ``span_lengths`` in bytes. All other columns are kept; names of added
-    columns must not be among them. Rows equal in id and text: the first keeps its bytes.
+    ``n_bytes``, ``n_removed`` and the removed runs as ``span_starts`` and ``span_lengths`` in bytes. All other columns are kept, but for any that is named like an added one. Rows equal in id and text: the first keeps its bytes.
     """
-    blocks = Blocks(docs, id_col, text_col)
+    blocks = Blocks(docs, id_col, text_col, added=ADDED)
     n = blocks.count
     names = list(blocks.fields)
 
