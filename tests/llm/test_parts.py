@@ -251,7 +251,7 @@ def test_sketch_of_a_class_finds_every_contained_item():
     length, names = decontam.item_shingles(item)
     items = decontam.Items([(7, length, names.tobytes()), (8, *(lambda x: (x[0], x[1].tobytes()))(decontam.item_shingles("w5 w6")))], 0.8)
     changed = [*words[:129], "x", *words[130:]]
-    assert [h[0] for h in items.find(" ".join(words))] == [0, 1]
+    assert sorted(h[0] for h in items.find(" ".join(words))) == [0, 1]
     assert (0, 25, 26) in items.find(" ".join(changed)) and items.find("nothing here") == [] and items.find(None) == []
 
 
