@@ -18,13 +18,6 @@ from pyspark.sql import functions as F
 from sparkmetrica.functions.scalars import col, num
 from sparkmetrica.session import settle
 
-# Up to this many rows, counted first, an ordinary window per group is the cheaper plan.
-SMALL_ROWS = 1_000_000
-# A table with at most this many rows (one per group or block) may be broadcast.
-BROADCAST_ROWS = 100_000
-# A group is hot when it holds more than 1/HOT_PARTS of all rows: at most HOT_PARTS of them.
-HOT_PARTS = 1000
-
 _COMBINE = {
     "sum": (F.sum, lambda mine, before: mine + F.coalesce(before, F.lit(0))),
     "max": (F.max, lambda mine, before: F.greatest(mine, before)),
@@ -49,35 +42,24 @@ def running(df: DataFrame, by, order, aggs: dict, totals: bool = False) -> DataF
     group = [F.col(b) for b in by] or [F.lit(0)]
     whole = Window.partitionBy(*group)
     inputs = {f"_in_{n}": c for n, (_, c) in aggs.items()}
-    if df.count() <= SMALL_ROWS:
-        upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        columns = {n: _COMBINE[kind][0](c).over(upto) for n, (kind, c) in aggs.items()}
-        if totals:
-            columns |= {f"{n}_total": _COMBINE[kind][0](c).over(whole) for n, (kind, c) in aggs.items()}
-        return df.withColumns(columns)
     blocks = df.withColumns(inputs).repartitionByRange(*[F.col(b) for b in by], *order)
-    blocks = settle(blocks.withColumn("_block", F.spark_partition_id()))
+    # The join key is made before the window, so that the join finds its rows partitioned.
+    at = F.struct(*[F.col(b) for b in by], F.col("_block"))
+    blocks = settle(blocks.withColumn("_block", F.spark_partition_id()).withColumn("_at", at))
 
-    sums = blocks.groupBy(*by, "_block").agg(
-        *[_COMBINE[kind][0](f"_in_{n}").alias(f"_sum_{n}") for n, (kind, _) in aggs.items()]
-    )
+    sums = blocks.groupBy("_at").agg(*[_COMBINE[kind][0](f"_in_{n}").alias(f"_sum_{n}") for n, (kind, _) in aggs.items()])
+    sums = sums.select("_at", "_at.*", *[f"_sum_{n}" for n in aggs])
     earlier = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = [F.struct(*[F.col(b) for b in by], F.col("_block")).alias("_at")]
+    carry = [F.col("_at")]
     for n, (kind, _) in aggs.items():
         carry.append(_COMBINE[kind][0](f"_sum_{n}").over(earlier).alias(f"_before_{n}"))
         if totals:
             carry.append(_COMBINE[kind][0](f"_sum_{n}").over(whole).alias(f"{n}_total"))
     carry = sums.select(*carry)
-    if not by:  # one row per range partition
-        carry = F.broadcast(carry)
 
-    upto = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = blocks.withColumns(
-        {n: _COMBINE[kind][0](f"_in_{n}").over(upto) for n, (kind, _) in aggs.items()}
-    )
-    joined = local.withColumn("_at", F.struct(*[F.col(b) for b in by], F.col("_block"))).join(
-        carry, "_at", "left"
-    )
+    upto = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = blocks.withColumns({n: _COMBINE[kind][0](f"_in_{n}").over(upto) for n, (kind, _) in aggs.items()})
+    joined = local.join(carry, "_at", "left")
     out = joined.withColumns(
         {n: _COMBINE[kind][1](F.col(n), F.col(f"_before_{n}")) for n, (kind, _) in aggs.items()}
     )
@@ -118,35 +100,26 @@ def ordered_counts(
 def join_back(rows: DataFrame, stats: DataFrame, keys, size: str) -> DataFrame:
     """Adds the columns of ``stats`` (one row per key, NULL keys included) to ``rows``.
 
-    ``size`` is the column of ``stats`` with the number of rows behind a key. A
-    small ``stats`` is broadcast after its rows have been counted. A large one is
-    shuffled by key, except for the hot keys, which are at most ``HOT_PARTS`` by
-    definition: those are broadcast, and their rows are spread over the cluster.
+    ``size`` is the column of ``stats`` with the number of rows behind a key. A key is
+    hot if it has more rows than an average task of the join would get, so there are
+    fewer hot keys than shuffle partitions. Their rows stay where they are and
+    meet a broadcast of these keys; all others are joined by key, broadcast or
+    shuffled as Spark finds it fit. Equal rows need no spreading that way.
     """
     keys = list(keys)
     stats = settle(stats)
     extra = [c for c in stats.columns if c not in keys]
     packed = stats.select(_key(keys).alias("_k"), F.struct(*extra).alias("_s"))
     keyed = rows.withColumn("_k", _key(keys))
-    if stats.count() <= BROADCAST_ROWS:
-        out = keyed.join(F.broadcast(packed), "_k", "left")
-        return out.select(*rows.columns, *[F.col(f"_s.{c}").alias(c) for c in extra])
-    total = stats.agg(F.sum(size)).first()[0]
-    is_hot = F.col(f"_s.{size}") * HOT_PARTS > F.lit(total)
-    hot = F.broadcast(packed.where(is_hot).withColumnRenamed("_s", "_hot"))
-    # The spread number sits inside the join key: as a column of its own the
-    # optimizer would turn it into a filter and all hot rows would meet again.
-    cold = packed.where(~is_hot).select(F.struct("_k", F.lit(0).alias("_spread")).alias("_j"), "_s")
-    hashable = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
-    spread = F.pmod(F.xxhash64(*hashable), F.lit(65536)).cast("int")
-    home = F.struct(
-        F.when(F.col("_hot").isNull(), F.col("_k")).alias("_k"),
-        F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(spread).alias("_spread"),
-    )
-    out = keyed.join(hot, "_k", "left").withColumn("_j", home).join(cold, "_j", "left")
-    return out.select(
-        *rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_s.{c}")).alias(c) for c in extra]
-    )
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = stats.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.coalesce(F.col(f"_s.{size}") * tasks > F.lit(total), F.lit(False))
+    hot = F.broadcast(packed.where(is_hot))
+    cold = packed.where(~is_hot)
+    spread = keyed.join(hot, "_k")
+    rest = keyed.join(hot.select("_k"), "_k", "left_anti").join(cold, "_k", "left")
+    shape = [*[F.col(c) for c in rows.columns], *[F.col(f"_s.{c}").alias(c) for c in extra]]
+    return spread.select(*shape).unionByName(rest.select(*shape))
 
 
 def rank_table(df: DataFrame, column: str, by=(), name: str = "rank") -> DataFrame:

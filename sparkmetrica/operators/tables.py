@@ -270,16 +270,15 @@ def add_group_share(df: DataFrame, by, column: str) -> DataFrame:
     )
 
 
-def add_window(df: DataFrame, by, order, spec: dict, large_group: int = 5_000_000, block_rows: int = 1_000_000) -> DataFrame:
+def add_window(df: DataFrame, by, order, spec: dict, block_rows: int = 100_000) -> DataFrame:
     """Lag, moving mean and running total along ``order`` within ``by``.
 
     ``spec`` maps a name to ``("lag", column, k)``, ``("moving_mean", column, k)``
     (the current and k-1 earlier rows) or ``("running", column)``. ``order`` must
-    end with a tie-breaker. Groups are counted first: if none exceeds
-    ``large_group`` a plain window is used, else rows are cut into blocks.
+    end with a tie-breaker. Groups are cut into blocks of ``block_rows`` consecutive
+    rows, each with copies of the rows its windows look back on, so that a group may be of any size.
     """
     by, order = list(by), list(order)
-    sizes = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     reach = {n: s for n, s in spec.items() if s[0] != "running"}
     back = max([s[2] for s in reach.values()], default=0)
 
@@ -288,12 +287,6 @@ def add_window(df: DataFrame, by, order, spec: dict, large_group: int = 5_000_00
             return lambda w: F.lag(s[1], s[2]).over(w)
         return lambda w: F.avg(num(s[1])).over(w.rowsBetween(1 - s[2], 0))
 
-    if sizes <= large_group:
-        window = Window.partitionBy(*by).orderBy(*order)
-        upto = window.rowsBetween(Window.unboundedPreceding, 0)
-        columns = {n: build(s)(window) for n, s in reach.items()}
-        columns |= {n: F.sum(num(s[1])).over(upto) for n, s in spec.items() if s[0] == "running"}
-        return df.withColumns(columns).select(*df.columns, *spec)
     aggs = {n: ("sum", num(s[1])) for n, s in spec.items() if s[0] == "running"}
     out = O.running(df, by, order, {**aggs, "pos": ("sum", F.lit(1).cast("bigint"))})
     if reach:

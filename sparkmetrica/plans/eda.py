@@ -456,7 +456,7 @@ def window_features(spark, folder):
 def window_features_large_groups(spark, folder):
     """The same columns by event type, on the plan for groups too large for one task."""
     order = [F.col("ts"), F.col("event_id")]
-    got = X.add_window(load(spark, folder, "events"), ["event_type"], order, WINDOW_SPEC, large_group=0, block_rows=10_000)
+    got = X.add_window(load(spark, folder, "events"), ["event_type"], order, WINDOW_SPEC, block_rows=1_000)
     return got.select("event_id", *WINDOW_SPEC)
 
 

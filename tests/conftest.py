@@ -7,11 +7,3 @@ from sparkmetrica.session import get_session
 def spark():
     return get_session("tests", cores="8")
 
-
-@pytest.fixture
-def block_plans(monkeypatch):
-    """Forces the plans for tables too large for one task or for a broadcast."""
-    from sparkmetrica.operators import order
-
-    monkeypatch.setattr(order, "SMALL_ROWS", 0)
-    monkeypatch.setattr(order, "BROADCAST_ROWS", 0)

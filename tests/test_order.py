@@ -1,4 +1,4 @@
-"""Ordering primitives against brute force in pandas, on both plans."""
+"""Ordering primitives against brute force in pandas."""
 
 import numpy as np
 import pandas as pd
@@ -19,33 +19,25 @@ def skewed(n=3000, seed=5):
     return pd.DataFrame({"id": np.arange(n), "g": g, "v": v})
 
 
-@pytest.fixture(params=["small", "large"])
-def plan(request, monkeypatch):
-    if request.param == "large":
-        monkeypatch.setattr(O, "SMALL_ROWS", 0)
-        monkeypatch.setattr(O, "BROADCAST_ROWS", 0)
-    return request.param
-
-
 @pytest.fixture(scope="module")
 def frame(spark):
     pdf = skewed()
     return pdf, spark.createDataFrame(pdf, "id bigint, g string, v double").repartition(6)
 
 
-def test_avg_rank(plan, frame):
+def test_avg_rank(frame):
     pdf, df = frame
     got = O.avg_rank(df, "v").toPandas().set_index("id")["rank"].sort_index()
     np.testing.assert_array_equal(got, pdf["v"].rank())
 
 
-def test_avg_rank_by_group_with_null_group(plan, frame):
+def test_avg_rank_by_group_with_null_group(frame):
     pdf, df = frame
     got = O.avg_rank(df, "v", ["g"]).toPandas().set_index("id")["rank"].sort_index()
     np.testing.assert_array_equal(got, pdf.groupby("g", dropna=False)["v"].rank())
 
 
-def test_quantiles(plan, frame):
+def test_quantiles(frame):
     pdf, df = frame
     probs = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
     got = O.exact_quantiles(df, "v", probs, ["g"]).toPandas()
@@ -56,7 +48,7 @@ def test_quantiles(plan, frame):
         np.testing.assert_allclose([row[O.quantile_name(p)] for p in probs], part.quantile(list(probs)), rtol=1e-12)
 
 
-def test_positions_and_running(plan, frame):
+def test_positions_and_running(frame):
     pdf, df = frame
     aggs = {"total": ("sum", F.coalesce(F.nanvl("v", F.lit(0.0)), F.lit(0.0))), "top": ("max", F.col("id")), "low": ("min", F.col("id"))}
     got = O.running(df, ["g"], [F.desc("id")], aggs).toPandas().sort_values("id", ascending=False)
@@ -70,7 +62,7 @@ def test_positions_and_running(plan, frame):
     assert (placed["pos_total"] == len(pdf)).all()
 
 
-def test_join_back_spreads_hot_keys(plan, frame):
+def test_join_back_spreads_hot_keys(frame):
     pdf, df = frame
     stats = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m"))
     got = O.join_back(df, stats, ["g"], "n").toPandas().sort_values("id")
@@ -79,14 +71,31 @@ def test_join_back_spreads_hot_keys(plan, frame):
     np.testing.assert_array_equal(got["m"], want)
 
 
-def test_hot_rows_are_spread_by_the_plan(frame, monkeypatch):
-    _, df = frame
-    monkeypatch.setattr(O, "BROADCAST_ROWS", 0)
-    stats = df.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    joined = O.join_back(df, stats, ["v"], "n")
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    exchange = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert exchange and all("_spread" in line for line in exchange), plan
+def test_identical_hot_rows_stay_spread(spark):
+    """100 000 equal rows among others: no task of the join gets more than its share, without help from AQE."""
+    rows = spark.range(0, 200_000, 1, 10).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(-F.col("id")).alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stats = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        joined = O.join_back(rows, stats, ["v"], "n")
+        counts = [r["count"] for r in joined.where("v = 7").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert joined.count() == 200_000 and joined.where("v = 7 AND n = 100000").count() == 100_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(counts) == 100_000 and max(counts) <= 20_000
+
+
+def test_running_shuffles_its_rows_for_the_window_only(spark):
+    rows = spark.range(0, 10_000, 1, 4).select("id", (F.col("id") % 3).alias("g"))
+    out = O.running(rows, ["g"], [F.col("id")], {"n": ("sum", F.lit(1))})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = out.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(_at") == 3, plan  # the rows once, one row per group and block twice
 
 
 def test_same_answer_on_any_partitioning(frame):
@@ -100,7 +109,7 @@ def test_same_answer_on_any_partitioning(frame):
 def test_windows_cut_into_blocks(frame, block):
     pdf, df = frame
     spec = {"lag3": ("lag", "id", 3), "mean4": ("moving_mean", "v", 4), "run": ("running", "id")}
-    got = X.add_window(df, ["g"], [F.col("id")], spec, large_group=0, block_rows=block).toPandas().sort_values("id")
+    got = X.add_window(df, ["g"], [F.col("id")], spec, block_rows=block).toPandas().sort_values("id")
     groups = pdf.groupby("g", dropna=False)
     assert len(got) == len(pdf)
     np.testing.assert_array_equal(got["lag3"].astype(float), groups["id"].shift(3))

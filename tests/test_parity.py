@@ -22,12 +22,3 @@ def test_matches_sql(spark, con, name):
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
-
-@pytest.mark.parametrize(
-    "name",
-    ["quantiles_by_group", "avg_rank", "avg_rank_by_group", "mannwhitney", "ks_two_sample", "auc_exact", "roc_curve",
-     "lift_table", "group_share", "fill_median_by_group", "split_stratified", "adjust_p_bh", "adjust_p_holm",
-     "window_features_large_groups", "correlations_spearman", "bootstrap_median", "permutation_test", "box_stats"],
-)
-def test_matches_sql_on_the_large_plans(spark, con, block_plans, name):
-    assert compare(QUERIES[name](spark, FOLDER), con, ORACLES[name]) is None
