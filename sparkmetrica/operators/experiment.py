@@ -33,7 +33,7 @@ def assign(df: DataFrame, unit: str, salt: str, weights=(0.5, 0.5), name: str =
 
 
 def srm(df: DataFrame, arm: str, weights=(0.5, 0.5)) -> DataFrame:
-    """Sample-ratio mismatch: chi-square of the arm counts against the weights."""
+    """Sample-ratio mismatch: chi-square of the arm counts against the weights; any other arm fails it."""
     return chi2_gof(df, arm, dict(enumerate(weights)))
 
 
@@ -226,7 +226,9 @@ def ab_report(df: DataFrame, arm: str, metrics, segments=(), control=0, level: f
     """Every metric, in total and by each segment column, every arm against control.
 
     One pass over the unit rows: grouping sets give all segmentations at once and
-    all metrics are aggregates of the same group; rows are unpivoted afterwards.
+    all metrics are aggregates of the same group; rows are unpivoted afterwards. A level
+    without control rows, or without any other arm (``arm`` is NULL then), keeps its
+    row, with NULL for what can't be compared.
     """
     metrics, segments = list(metrics), list(segments)
     keys = [F.col(arm)] + [F.col(s) for s in segments]
@@ -252,7 +254,8 @@ def ab_report(df: DataFrame, arm: str, metrics, segments=(), control=0, level: f
     }
     base = sides[0].drop("arm").withColumnsRenamed({"segment": "_s", "level": "_l", "metric": "_m"})
     same = (F.col("segment") == F.col("_s")) & F.col("level").eqNullSafe(F.col("_l")) & (F.col("metric") == F.col("_m"))
-    both = sides[1].join(base, same).drop("_s", "_l", "_m")
+    both = sides[1].join(base, same, "full_outer")
+    both = both.withColumns({"segment": F.coalesce("segment", "_s"), "metric": F.coalesce("metric", "_m"), "level": F.coalesce("level", "_l")}).drop("_s", "_l", "_m")
     out = welch(both, level)
     return out.withColumn("lift", ratio("diff", "mean0")).drop("var0", "var1")
 

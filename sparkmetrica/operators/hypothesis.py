@@ -114,25 +114,37 @@ def chi2_test(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def chi2_gof(df: DataFrame, a: str, expected: dict) -> DataFrame:
-    """Goodness of fit of the levels of ``a`` to ``expected`` weights."""
+    """Goodness of fit of the levels of ``a`` to ``expected`` weights.
+
+    Rows with a level that is not expected are counted in ``n_unexpected``; one such
+    row refutes the weights, so ``p`` is 0 then. ``n`` and ``chi2`` are of the expected levels.
+    """
     total = float(sum(expected.values()))
     counts = [F.count_if(F.col(a) == F.lit(v)).alias(f"_{i}") for i, v in enumerate(expected)]
-    row = df.agg(*counts)
+    row = df.agg(*counts, F.count_if(~F.col(a).isin(list(expected))).alias("_other"))
     n = sum((F.col(f"_{i}") for i in range(1, len(expected))), F.col("_0"))
     parts = []
     for i, w in enumerate(expected.values()):
         e = n * F.lit(w / total)
         parts.append(ratio(sq(F.col(f"_{i}") - e), e))
     out = row.select(
-        n.alias("n"), sum(parts[1:], parts[0]).alias("chi2"), F.lit(len(expected) - 1).alias("df")
+        n.alias("n"), F.col("_other").alias("n_unexpected"), sum(parts[1:], parts[0]).alias("chi2"), F.lit(len(expected) - 1).alias("df")
     )
-    return out.withColumn("p", p_chi2(F.col("chi2"), F.col("df")))
+    return out.withColumn("p", F.when(F.col("n_unexpected") > 0, F.lit(0.0)).otherwise(p_chi2(F.col("chi2"), F.col("df"))))
 
 
 def chi2_feature_test(df: DataFrame, features, label: str) -> DataFrame:
-    """Spark ML's chi-square test of several categorical columns against a label."""
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_f", handleInvalid="skip").transform(df)
-    return ChiSquareTest.test(assembled, "_f", label, flatten=True)
+    """Spark ML's chi-square test of several categorical columns against a label.
+
+    Rows with a missing feature or label are left out and counted in ``n_dropped``.
+    """
+    needed = [*features, label]
+    complete = F.lit(True)
+    for c in needed:
+        complete = complete & num(c).isNotNull()
+    n_dropped = df.agg(F.count_if(~complete)).first()[0]
+    assembled = VectorAssembler(inputCols=list(features), outputCol="_f").transform(df.where(complete))
+    return ChiSquareTest.test(assembled, "_f", label, flatten=True).withColumn("n_dropped", F.lit(n_dropped))
 
 
 def anova(df: DataFrame, group: str, y: str | Column) -> DataFrame:

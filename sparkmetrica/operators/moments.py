@@ -30,6 +30,7 @@ class Moments:
     weight: float
     mean: np.ndarray
     s: np.ndarray
+    log_weight: float = 0.0  # sum of the logarithms of the weights
 
     def at(self, names) -> list[int]:
         return [self.names.index(n) for n in names]
@@ -104,14 +105,14 @@ def moments(df: DataFrame, columns, weight=None) -> Moments:
             raise ValueError("no complete rows")
         return Moments(names, n, total, float(n), np.array(got[2 : 2 + k], float), n * _symmetric(k, got[2 + k :]))
     w = F.col("_w") if weight is not None else F.when(F.col(names[0]).isNotNull(), F.lit(1.0))
-    aggs = [F.sum(w)] + [F.sum(w * F.col(n)) for n in names]
+    aggs = [F.sum(w), F.sum(F.ln(w))] + [F.sum(w * F.col(n)) for n in names]
     got = list(rows.agg(*[c.alias(f"_{i}") for i, c in enumerate(counts + aggs)]).first())
-    total, n, weights = got[:3]
+    total, n, weights, logs = got[:4]
     if not n:
         raise ValueError("no complete rows")
-    mean = np.array(got[3:], float) / weights
+    mean = np.array(got[4:], float) / weights
     centred = [F.sqrt(w) * (F.col(c) - F.lit(float(m))) for c, m in zip(names, mean)]
-    return Moments(names, n, total, float(weights), mean, pair_sums(rows, centred))
+    return Moments(names, n, total, float(weights), mean, pair_sums(rows, centred), float(logs))
 
 
 def moments_by(df: DataFrame, columns, by) -> DataFrame:
@@ -128,7 +129,7 @@ def moments_by(df: DataFrame, columns, by) -> DataFrame:
         *[F.avg(s).alias(f"_m{s}") for s in slots],
         *[F.covar_pop(slots[i], slots[j]).alias(f"_c{i}_{j}") for i, j in pairs],
     )
-    return grouped.where("n > 0").select(
+    return grouped.select(
         *by,
         "n",
         F.array(*[F.col(f"_m{s}") for s in slots]).alias("mean"),
@@ -142,7 +143,8 @@ def within_moments(df: DataFrame, columns, by) -> tuple[Moments, int]:
     The within-group sums of each group add up, so no row is demeaned or joined.
     """
     names = list(_columns(columns))
-    groups = moments_by(df, columns, by)
+    groups = moments_by(df, columns, by).where("n > 0")
+    total = df.count()
     k = len(names)
     size = len(_pairs(k))
     got = list(
@@ -154,4 +156,4 @@ def within_moments(df: DataFrame, columns, by) -> tuple[Moments, int]:
         ).first()
     )
     n, g = got[:2]
-    return Moments(names, n, n, float(n), np.array(got[2 : 2 + k], float), _symmetric(k, got[2 + k :])), g
+    return Moments(names, n, total, float(n), np.array(got[2 : 2 + k], float), _symmetric(k, got[2 + k :])), g

@@ -51,6 +51,7 @@ class Fit:
     cov: np.ndarray | None = None
     projection: np.ndarray | None = None  # 2SLS: coefficients of x on z
     z: list = field(default_factory=list)
+    absorbed: int = 0  # groups whose intercepts were absorbed
 
     def __post_init__(self):
         if self.cov is None:
@@ -103,14 +104,15 @@ class Fit:
 
     def measures(self) -> dict:
         n, k = self.n, len(self.x)
-        f = ((self.tss - self.rss) / k) / (self.rss / self.df_resid) if k else float("nan")
-        loglik = -0.5 * n * (math.log(2 * math.pi * self.rss / n) + 1)
+        f = ((self.tss - self.rss) / k) / (self.rss / self.df_resid) if k and self.projection is None else None
+        loglik = -0.5 * n * (math.log(2 * math.pi * self.rss / n) + 1) + 0.5 * self.m.log_weight
+        used = k + max(1, self.absorbed)  # slopes and intercepts
         return {
             "n": n, "n_dropped": self.m.n_total - n, "k": k, "df_resid": self.df_resid,
             "r2": self.r2, "adj_r2": 1 - (1 - self.r2) * (n - 1) / self.df_resid,
             "sigma": math.sqrt(self.rss / self.df_resid), "f": f,
-            "f_p": float(dist.f_tail(f, k, self.df_resid)) if k else float("nan"),
-            "aic": -2 * loglik + 2 * (k + 1), "bic": -2 * loglik + math.log(n) * (k + 1),
+            "f_p": None if f is None else float(dist.f_tail(f, k, self.df_resid)),
+            "aic": -2 * loglik + 2 * used, "bic": -2 * loglik + math.log(n) * used,
         }
 
     def summary(self, spark: SparkSession) -> DataFrame:
@@ -249,9 +251,13 @@ def cluster_cov(fit: Fit, df: DataFrame, by: str, kind: str = "CR1") -> Fit:
     """Cluster-robust standard errors: ``CR0``, or ``CR1`` with the small-sample factor.
 
     A cluster of any size is summed on the map side; only k+1 sums per cluster move.
+    Rows without a cluster are a cluster of their own, so every row of the fit counts. After
+    :func:`within` the rows would have to be demeaned, so that fit is rejected.
     """
+    if fit.absorbed:
+        raise ValueError("cluster_cov needs the residuals of a fit without absorbed groups")
     rows, scores = _score_rows(fit, df, keep=[by])
-    sums = rows.where(F.col(by).isNotNull()).groupBy(by).agg(
+    sums = rows.groupBy(by).agg(
         *[F.sum(s).alias(s) for s in scores], F.count(scores[0]).alias("_n")
     )
     sums = sums.where("_n > 0")
@@ -356,8 +362,9 @@ def influence(fit: Fit, df: DataFrame) -> DataFrame:
     """Rows with fitted value, leverage, studentised residuals and Cook's distance
     (NULL where a variable is missing)."""
     s2, k = fit.rss / fit.df_resid, len(fit.x) + 1
-    rows = fit.rows(df, df.columns, fitted=fit.fitted(), residual=fit.residual(), leverage=fit.leverage())
-    e, h = F.col("residual"), F.col("leverage")
+    scaled = fit.residual() * F.sqrt(num(fit.weight)) if fit.weight else fit.residual()
+    rows = fit.rows(df, df.columns, fitted=fit.fitted(), residual=fit.residual(), leverage=fit.leverage(), _e=scaled)
+    e, h = F.col("_e"), F.col("leverage")
     inner = ratio(e, F.sqrt(F.lit(s2) * (1 - h)))
     left_out = ratio(F.lit(fit.rss) - ratio(e * e, 1 - h), F.lit(float(fit.df_resid - 1)))
     return rows.withColumns(
@@ -366,7 +373,7 @@ def influence(fit: Fit, df: DataFrame) -> DataFrame:
             "student_ext": ratio(e, F.sqrt(left_out * (1 - h))),
             "cooks_d": inner * inner / k * ratio(h, 1 - h),
         }
-    )
+    ).drop("_e")
 
 
 def compare(df: DataFrame, y: str, candidates: dict) -> DataFrame:
@@ -408,10 +415,11 @@ def stepwise(df: DataFrame, y: str, x, criterion: str = "aic", direction: str =
 
 
 def ols_by(df: DataFrame, by, y: str, x) -> DataFrame:
-    """A separate regression per group: ``by..., term, coef, se, t, n, r2, rss``.
+    """A separate regression per group: ``by..., term, coef, se, t, n, r2, rss, reason``.
 
-    Groups without enough rows, or with a constant or collinear column, give no
-    rows. Each group is already one row of sums when it is solved.
+    A group without enough rows, or with a constant or collinear column, has NULL
+    estimates and says why in ``reason``; a group without a complete row has ``n`` 0. Each group is already one
+    row of sums when it is solved.
     """
     by, x = list(by), list(x)
     k = len(x)
@@ -423,10 +431,12 @@ def ols_by(df: DataFrame, by, y: str, x) -> DataFrame:
             out = []
             for key, n, mean, flat in zip(pdf[by].itertuples(index=False), pdf["n"], pdf["mean"], pdf["s"]):
                 s = np.zeros((k + 1, k + 1))
-                s[upper] = flat
+                s[upper] = flat if n else 0.0
                 s = s + np.triu(s, 1).T
                 freedom = n - k - 1
-                if freedom <= 0 or len(independent(s[1:, 1:])) < k:
+                reason = "too few rows" if freedom <= 0 else "constant or collinear" if len(independent(s[1:, 1:])) < k else None
+                if reason:
+                    out += [(*key, name, None, None, None, n, None, None, reason) for name in [CONST, *x]]
                     continue
                 inverse = inverse_of(s[1:, 1:]) if k else np.zeros((0, 0))
                 slopes = inverse @ s[1:, 0]
@@ -437,25 +447,27 @@ def ols_by(df: DataFrame, by, y: str, x) -> DataFrame:
                 se = np.sqrt(s2 * variance)
                 r2 = 1 - rss / s[0, 0] if s[0, 0] > 0 else np.nan
                 for name, b, e in zip([CONST, *x], beta, se):
-                    out.append((*key, name, b, e, b / e if e > 0 else np.nan, n, r2, rss))
-            names = [*by, "term", "coef", "se", "t", "n", "r2", "rss"]
+                    out.append((*key, name, b, e, b / e if e > 0 else np.nan, n, r2, rss, None))
+            names = [*by, "term", "coef", "se", "t", "n", "r2", "rss", "reason"]
             yield pd.DataFrame(out, columns=names)
 
     keys = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
     return stats.mapInPandas(
-        solve, f"{keys}, term string, coef double, se double, t double, n bigint, r2 double, rss double"
+        solve, f"{keys}, term string, coef double, se double, t double, n bigint, r2 double, rss double, reason string"
     )
 
 
 def within(df: DataFrame, by, y: str, x) -> Fit:
     """Fixed effects of ``by``: slopes from within-group variation.
 
-    The group means absorb the intercepts, so ``df_resid`` loses one per group.
+    The group means absorb the intercepts, so ``df_resid`` loses one per group, and the
+    information criteria count them as parameters.
     """
     columns = variables([y, *x])
     by = [by] if isinstance(by, str) else list(by)
     m, groups = within_moments(df, columns, by)
     fit = fit_moments(m, y, x, columns, df_used=groups)
+    fit.absorbed = groups
     return fit
 
 
@@ -503,8 +515,14 @@ def penalized(df: DataFrame, y: str, x, strength: float, mix: float = 0.0, weigh
 
 
 def predict(fit: Fit, df: DataFrame, level: float = 0.95) -> DataFrame:
-    """Rows with the prediction and its interval for a new observation."""
+    """Rows with the prediction and its interval for a new observation.
+
+    After a weighted fit the new observation has the weight of its row: its variance is s2 / w.
+    """
+    if fit.absorbed:
+        raise ValueError("a fit with absorbed groups has no intercept to predict with")
     spread = F.lit(fit.rss / fit.df_resid) * (1 + fit.leverage())
+    spread = ratio(spread, num(fit.weight)) if fit.weight else spread
     half = F.lit(float(dist.t_critical(level, float(fit.df_resid)))) * F.sqrt(spread)
     return df.withColumn("predicted", fit.fitted()).withColumns(
         {"pred_lo": F.col("predicted") - half, "pred_hi": F.col("predicted") + half}

@@ -81,7 +81,7 @@ def assign_three(spark, folder):
     WITH c AS (SELECT (CASE WHEN {sql_uniform('c_custkey', 'price-test')} < 0.5 THEN 0 ELSE 1 END) AS arm FROM customer),
     s AS (SELECT count(*) AS n, count(*) FILTER (arm = 0) AS a, count(*) FILTER (arm = 1) AS b FROM c),
     x AS (SELECT n, (a - n / 2.0::double) ** 2 / (n / 2.0::double) + (b - n / 2.0::double) ** 2 / (n / 2.0::double) AS chi2 FROM s)
-    SELECT n, chi2, 1::int AS df, {sql_p_chi2('chi2', '1')} AS p FROM x
+    SELECT n, 0::bigint AS n_unexpected, chi2, 1::int AS df, {sql_p_chi2('chi2', '1')} AS p FROM x
     """,
     "chi2 p",
 )
@@ -89,6 +89,21 @@ def sample_ratio(spark, folder):
     return E.srm(E.assign(load(spark, folder, "customer"), "c_custkey", "price-test"), "arm")
 
 
+@query(
+    "sample_ratio_unplanned_arm",
+    f"""
+    WITH c AS (SELECT {sql_uniform('c_custkey', 'price-test')} AS u FROM customer),
+    s AS (SELECT count(*) FILTER (u < 0.8) AS n, count(*) FILTER (u >= 0.8) AS n_unexpected, count(*) FILTER (u < 0.5) AS a, count(*) FILTER (u >= 0.5 AND u < 0.8) AS b FROM c)
+    SELECT n, n_unexpected, ((a - n / 2.0::double) ** 2 + (b - n / 2.0::double) ** 2) / (n / 2.0::double) AS chi2, 1::int AS df,
+      CASE WHEN n_unexpected > 0 THEN 0::double END AS p FROM s
+    """,
+    "chi2 p",
+)
+def sample_ratio_unplanned_arm(spark, folder):
+    """Two arms planned, three found: the check must fail."""
+    return E.srm(E.assign(load(spark, folder, "customer"), "c_custkey", "price-test", (0.5, 0.3, 0.2)), "arm")
+
+
 @query(
     "unit_metrics",
     """
@@ -270,7 +285,7 @@ def _report_sql(metric: str, segment: str | None) -> str:
     group = f"GROUP BY {segment}" if segment else ""
     return f"""
     SELECT 1::int AS arm, '{name}' AS segment, {level} AS level, '{metric}' AS metric,
-      count({metric}) FILTER (arm = 0) AS n0, count({metric}) FILTER (arm = 1) AS n1,
+      count(*) FILTER (arm = 0) AS a0, count(*) FILTER (arm = 1) AS a1, count({metric}) FILTER (arm = 0) AS n0, count({metric}) FILTER (arm = 1) AS n1,
       avg({metric}) FILTER (arm = 0) AS mean0, avg({metric}) FILTER (arm = 1) AS mean1,
       var_samp({metric}) FILTER (arm = 0) AS var0, var_samp({metric}) FILTER (arm = 1) AS var1 FROM u {group}
     """
@@ -280,7 +295,7 @@ def _report_sql(metric: str, segment: str | None) -> str:
     "ab_report",
     f"WITH u AS ({SEGMENT_SQL}), s AS ("
     + " UNION ALL ".join(_report_sql(m, s) for m in ("y", "n_events", "bought") for s in (None, "c_mktsegment", "c_nationkey"))
-    + """), w AS (SELECT *, mean1 - mean0 AS diff, sqrt(var0 / n0 + var1 / n1) AS se FROM s WHERE n0 > 0 AND n1 > 0)
+    + """), w AS (SELECT * REPLACE (CASE WHEN a1 > 0 THEN arm END AS arm, CASE WHEN a0 > 0 THEN n0 END AS n0, CASE WHEN a1 > 0 THEN n1 END AS n1), mean1 - mean0 AS diff, sqrt(var0 / n0 + var1 / n1) AS se FROM s)
     SELECT arm, segment, level, metric, n0, n1, mean0, mean1, diff, se, CASE WHEN se > 0 THEN diff / se END AS t,
       CASE WHEN mean0 <> 0 THEN diff / mean0 END AS lift FROM w""",
     "mean0 mean1 diff se t lift",
@@ -292,6 +307,23 @@ def ab_report(spark, folder):
     return got.select(*columns)
 
 
+@query(
+    "ab_report_missing_arms",
+    """
+    WITH u AS (SELECT CASE WHEN c_nationkey < 3 THEN 0 WHEN c_nationkey < 6 THEN 1 ELSE c_custkey % 2 END AS arm, c_nationkey AS g, c_acctbal AS y FROM customer),
+    s AS (SELECT 'all' AS segment, NULL::varchar AS level, count(*) FILTER (arm = 0) AS n0, count(*) FILTER (arm = 1) AS n1, avg(y) FILTER (arm = 1) - avg(y) FILTER (arm = 0) AS diff FROM u
+      UNION ALL SELECT 'c_nationkey', g::varchar, count(*) FILTER (arm = 0), count(*) FILTER (arm = 1), avg(y) FILTER (arm = 1) - avg(y) FILTER (arm = 0) FROM u GROUP BY g)
+    SELECT CASE WHEN n1 > 0 THEN 1 END::bigint AS arm, segment, level, 'c_acctbal' AS metric, nullif(n0, 0) AS n0, nullif(n1, 0) AS n1, diff FROM s
+    """,
+    "diff",
+)
+def ab_report_missing_arms(spark, folder):
+    """Nations of which all customers are in one arm keep their rows."""
+    arm = F.when(F.col("c_nationkey") < 3, F.lit(0)).when(F.col("c_nationkey") < 6, F.lit(1)).otherwise(F.col("c_custkey") % 2)
+    rows = load(spark, folder, "customer").withColumn("arm", arm)
+    return E.ab_report(rows, "arm", ["c_acctbal"], ["c_nationkey"]).select("arm", "segment", "level", "metric", "n0", "n1", "diff")
+
+
 @query(
     "ab_report_many_arms",
     f"""

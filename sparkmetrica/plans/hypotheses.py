@@ -98,7 +98,7 @@ def chi2_independence(spark, folder):
     WITH c AS (SELECT l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1),
     e AS (SELECT f, n, (CASE f WHEN 'A' THEN 0.33 WHEN 'N' THEN 0.34 ELSE 0.33 END)::double * sum(n) OVER () AS e FROM c),
     s AS (SELECT sum(n)::bigint AS n, sum((n - e) ** 2 / e) AS chi2, (count(*) - 1)::int AS df FROM e)
-    SELECT n, chi2, df, {sql_p_chi2('chi2', 'df')} AS p FROM s
+    SELECT n, 0::bigint AS n_unexpected, chi2, df, {sql_p_chi2('chi2', 'df')} AS p FROM s
     """,
     "chi2 p",
 )
@@ -117,7 +117,7 @@ def chi2_gof(spark, folder):
     a AS (SELECT f, sum(n) AS n FROM c GROUP BY 1),
     e AS (SELECT r.f, coalesce(c.n, 0) AS n, rx * ry / a.n::double AS e FROM r JOIN t ON r.f = t.f JOIN a ON a.f = r.f
           LEFT JOIN c ON c.f = r.f AND c.x = r.x AND c.y = t.y)
-    SELECT f::int AS "featureIndex", sum((n - e) ** 2 / e) AS statistic, (count(*) // 2 - 1)::int AS "degreesOfFreedom" FROM e GROUP BY f
+    SELECT f::int AS "featureIndex", sum((n - e) ** 2 / e) AS statistic, (count(*) // 2 - 1)::int AS "degreesOfFreedom", 0::bigint AS n_dropped FROM e GROUP BY f
     """,
     "statistic",
     digits=5,

@@ -148,6 +148,63 @@ def wls(spark, folder):
     return R.wls(rows, Y, [X1], "weight").table(spark).select("term", "coef", "se")
 
 
+WEIGHTED_SQL = f"""
+    WITH r AS ({HOMES_SQL}), m AS (SELECT sum(1 / area) AS w, sum(ln_area / area) / sum(1 / area) AS mx, sum(ln_price / area) / sum(1 / area) AS my FROM r),
+    b AS (SELECT *, (SELECT sum((ln_area - mx) * (ln_price - my) / area) / sum((ln_area - mx) ** 2 / area) FROM r, m) AS b1 FROM m),
+    s AS (SELECT count(*) AS n, any_value(b1) AS b1, any_value(my - b1 * mx) AS b0, any_value(mx) AS mx, any_value(w) AS w, sum(ln(1 / area)) AS logs,
+      sum((ln_area - mx) ** 2 / area) AS sxx, sum((ln_price - my) ** 2 / area) AS tss, sum((ln_price - my - b1 * (ln_area - mx)) ** 2 / area) AS rss FROM r, b),
+    e AS (SELECT r.*, s.*, ln_price - b0 - b1 * ln_area AS e, (1 / w + (ln_area - mx) ** 2 / sxx) AS q FROM r, s)
+"""
+
+
+def weighted(spark, folder):
+    rows = homes(spark, folder).withColumn("weight", 1 / F.col("area"))
+    return rows, R.wls(rows, Y, [X1], "weight")
+
+
+@query(
+    "wls_summary",
+    WEIGHTED_SQL + """SELECT n, 1 - rss / tss AS r2, 1 - rss / tss * (n - 1) / (n - 2) AS adj_r2, sqrt(rss / (n - 2)) AS sigma,
+      (n * (ln(2 * pi() * rss / n) + 1) - logs + 4) / n AS aic_per_row, (n * (ln(2 * pi() * rss / n) + 1) - logs + 2 * ln(n)) / n AS bic_per_row FROM s""",
+    "r2 adj_r2 sigma aic_per_row bic_per_row",
+)
+def wls_summary(spark, folder):
+    """Likelihood of normal errors of variance s2 / w."""
+    got = weighted(spark, folder)[1].summary(spark)
+    per_row = [(F.col(c) / F.col("n")).alias(f"{c}_per_row") for c in ("aic", "bic")]
+    return got.select("n", "r2", "adj_r2", "sigma", *per_row)
+
+
+@query(
+    "wls_predict",
+    WEIGHTED_SQL + """SELECT l_orderkey, l_linenumber, ln_price - e AS predicted, ((pred_hi - (ln_price - e)) / sqrt(rss / (n - 2) * (area + q))) AS quantile, pred_lo + pred_hi - 2 * (ln_price - e) AS lopsided
+      FROM (SELECT *, ln_price - e + t * sqrt(rss / (n - 2) * (area + q)) AS pred_hi, ln_price - e - t * sqrt(rss / (n - 2) * (area + q)) AS pred_lo
+        FROM e, (SELECT z + (z ** 3 + z) / (4 * df) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * df ** 2) AS t FROM (SELECT 1.959963984540054::double AS z, (n - 2)::double AS df FROM s)))""",
+    "predicted quantile lopsided",
+    digits=5,
+)
+def wls_predict(spark, folder):
+    """Intervals of new observations: half-widths in units of their standard error, s2 (1 / w + x'Ax), are the t quantile."""
+    rows, fit = weighted(spark, folder)
+    c = F.col(X1) - F.lit(float(fit.m.means([X1])[0]))
+    error = F.sqrt(F.lit(fit.rss / fit.df_resid) * (F.col("area") + F.lit(1.0 / fit.m.weight) + c * c * F.lit(float(fit.inverse[0, 0]))))
+    got = R.predict(fit, rows)
+    return got.select("l_orderkey", "l_linenumber", "predicted", ((F.col("pred_hi") - F.col("predicted")) / error).alias("quantile"), (F.col("pred_lo") + F.col("pred_hi") - 2 * F.col("predicted")).alias("lopsided"))
+
+
+@query(
+    "wls_influence",
+    WEIGHTED_SQL + """SELECT l_orderkey, l_linenumber, e AS residual, n * q / area AS leverage_n, e / sqrt(area) / sqrt(rss / (n - 2) * (1 - q / area)) AS student,
+      n * (e ** 2 / area) / (2 * rss / (n - 2)) * (q / area) / (1 - q / area) ** 2 AS cooks_n FROM e""",
+    "residual leverage_n student cooks_n",
+    digits=4,
+)
+def wls_influence(spark, folder):
+    rows, fit = weighted(spark, folder)
+    scaled = [(F.col("leverage") * fit.n).alias("leverage_n"), (F.col("cooks_d") * fit.n).alias("cooks_n")]
+    return R.influence(fit, rows).select("l_orderkey", "l_linenumber", "residual", "student", *scaled)
+
+
 def _robust_sql(factor: str, scale: str = "1") -> str:
     sums = ", ".join(
         f"sqrt({scale} * sum(({r} * e) ** 2 * {factor})) AS se{j}"
@@ -187,6 +244,21 @@ def cluster_robust(spark, folder):
     return R.cluster_cov(R.ols(rows, Y, X), rows, "l_suppkey").table(spark).drop("p", "ci_lo", "ci_hi")
 
 
+@query(
+    "cluster_robust_null_cluster",
+    f"""{fit2_sql(HOMES_SQL)},
+    g AS (SELECT nullif(l_suppkey % 10, 3) AS c, any_value(n) AS n, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2,
+      sum((1.0::double / n - m1 * r1 - m2 * r2) * e) AS g0, sum(r1 * e) AS g1, sum(r2 * e) AS g2 FROM e GROUP BY 1),
+    v AS (SELECT any_value(n) AS n, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sqrt(sum(g0 ** 2)) AS se0, sqrt(sum(g1 ** 2)) AS se1, sqrt(sum(g2 ** 2)) AS se2 FROM g)
+    {table_sql('se#', 'v')}""",
+    "coef se t",
+)
+def cluster_robust_null_cluster(spark, folder):
+    """Rows without a cluster count as a cluster of their own."""
+    rows = homes(spark, folder).withColumn("cluster", F.nullif(F.col("l_suppkey") % 10, F.lit(3)))
+    return R.cluster_cov(R.ols(rows, Y, X), rows, "cluster", "CR0").table(spark).drop("p", "ci_lo", "ci_hi")
+
+
 @query(
     "wald",
     f"""{fit2_sql(HOMES_SQL)}, f AS (SELECT (b1 + 20 * b2 - 0.1) ** 2 / (s2 * (i11 + 40 * i12 + 400 * i22)) AS f, 1::bigint AS df1, n - 3 AS df2 FROM q)
@@ -333,6 +405,24 @@ def ols_by_group(spark, folder):
     return R.ols_by(homes(spark, folder), ["l_suppkey"], Y, [X1]).select("l_suppkey", "term", "coef", "se", "n", "r2")
 
 
+@query(
+    "ols_by_small_groups",
+    f"""
+    WITH r AS (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE ln_area END AS x FROM ({HOMES_SQL})),
+    g AS (SELECT l_orderkey, count(x) AS n, regr_slope(ln_price, x) AS b1, regr_intercept(ln_price, x) AS b0, regr_sxx(ln_price, x) AS sxx FROM r GROUP BY 1)
+    SELECT l_orderkey, term, n, CASE WHEN n <= 2 THEN 'too few rows' WHEN sxx <= 1e-10 * n THEN 'constant or collinear' END AS reason,
+      CASE WHEN n > 2 AND sxx > 1e-10 * n THEN CASE term WHEN 'const' THEN b0 ELSE b1 END END AS coef
+    FROM g, (SELECT unnest(['const', 'x']) AS term)
+    """,
+    "coef",
+    digits=4,
+)
+def ols_by_small_groups(spark, folder):
+    """A regression per order: most have too few rows, some no complete row, and all are reported."""
+    rows = homes(spark, folder).withColumn("x", F.when(F.col("l_orderkey") % 3 != 0, F.col("ln_area")))
+    return R.ols_by(rows, ["l_orderkey"], Y, ["x"]).select("l_orderkey", "term", "n", "reason", "coef")
+
+
 @query(
     "fixed_effects",
     f"""

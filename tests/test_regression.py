@@ -147,15 +147,43 @@ def test_design_and_fixed_effects_agree(spark, homes):
     assert dummies.slopes[2:] == pytest.approx([0.1, 0.2, 0.3], abs=0.05)
 
 
-def test_groups_too_small_or_flat_give_no_rows(spark, homes):
+def test_groups_too_small_or_flat_say_so(spark, homes):
     rows = homes.withColumn("g", F.when(F.col("id") < 2, "tiny").when(F.col("id") < 300, "flat").otherwise("rest"))
     rows = rows.withColumn("x", F.when(F.col("g") == "flat", F.lit(1.0)).otherwise(F.col("dist")))
     got = R.ols_by(rows, ["g"], "ln_price", ["x"]).toPandas()
-    assert set(got["g"]) == {"rest"} and len(got) == 2
+    why = got.groupby("g")["reason"].first().to_dict()
+    assert why == {"tiny": "too few rows", "flat": "constant or collinear", "rest": None} and len(got) == 6
+    assert got.loc[got["g"] != "rest", ["coef", "se", "r2"]].isna().all(axis=None)
+    got = got[got["g"] == "rest"]
     whole = R.ols(rows.where("g = 'rest'"), "ln_price", ["x"])
     np.testing.assert_allclose(got.set_index("term")["coef"][["const", "x"]], whole.beta, rtol=1e-9)
 
 
+def test_constant_weights_change_nothing(spark, homes):
+    rows = homes.withColumn("w", F.lit(4.0))
+    plain, same = R.ols(rows, "ln_price", ["ln_area", "dist"]), R.wls(rows, "ln_price", ["ln_area", "dist"], "w")
+    for c in ("aic", "bic", "r2", "f"):
+        assert same.measures()[c] == pytest.approx(plain.measures()[c], rel=1e-9)
+    for f in (R.predict, R.influence):
+        a, b = (f(fit, rows).orderBy("id").toPandas() for fit in (plain, same))
+        for c in {"pred_lo", "pred_hi", "student", "student_ext", "cooks_d", "leverage"} & set(a):
+            if c == "pred_lo" or c == "pred_hi":  # a new row of weight 4 has a quarter of the variance s2 of the weighted fit, which is four times as large
+                np.testing.assert_allclose(a[c], b[c], rtol=1e-9)
+            else:
+                np.testing.assert_allclose(a[c], b[c], rtol=1e-7)
+
+
+def test_absorbed_groups_are_counted_and_guarded(spark, homes):
+    rows = homes.withColumn("dist", F.when(F.col("id") % 10 != 0, F.col("dist")))
+    inside = R.within(rows, "district", "ln_price", ["ln_area", "dist"])
+    table, names = R.design(rows, "ln_price", ["ln_area", "dist", ("dummy", "district", "d0")])
+    dummies = R.ols(table, "y", names)
+    assert inside.measures()["n_dropped"] == dummies.measures()["n_dropped"] > 0
+    assert inside.measures()["aic"] == pytest.approx(dummies.measures()["aic"], rel=1e-9)
+    with pytest.raises(ValueError):
+        R.cluster_cov(inside, rows, "district")
+
+
 def test_stepwise_ignores_noise(homes):
     rows = homes.withColumn("nothing", F.rand(3))
     fit, path = R.stepwise(rows, "ln_price", ["nothing", "dist", "ln_area"], "bic")
