@@ -43,8 +43,14 @@ def _partial_grams(column: str, centre: np.ndarray | None):
             vectors = batch.column(0).drop_null()
             if not len(vectors):
                 continue
+            lengths = np.diff(vectors.offsets.to_numpy())
+            if lengths.min() != lengths.max() or (total is not None and lengths[0] != len(total)):
+                raise ValueError("vectors of unequal length")
             block = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
             block = block.reshape(len(vectors), -1)
+            block = block[np.isfinite(block).all(axis=1)]  # a vector with a missing element counts as missing
+            if not len(block):
+                continue
             if centre is not None:
                 block = block - centre
             total = block.T @ block if total is None else total + block.T @ block
@@ -66,12 +72,15 @@ def _partial_grams(column: str, centre: np.ndarray | None):
 def gram(df: DataFrame, column: str, centred: bool = False) -> DataFrame:
     """Sum of outer products ``x x'`` as ``(i, j, v)``; covariance sums if ``centred``.
 
+    A vector with a NULL, NaN or infinite element is left out as a whole; vectors of unequal length are an error.
+
     Every partition reduces its own rows to one d-by-d matrix before anything is
     shuffled, so what travels is d^2 numbers per partition, whatever the row count.
     """
     centre = None
     if centred:
-        centre = np.array([r["mean"] for r in axis_stats(df, column).orderBy("dim").collect()])
+        whole = ~F.exists(F.col(column), lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
+        centre = np.array([r["mean"] for r in axis_stats(df.where(whole), column).orderBy("dim").collect()])
     partial = df.select(column).mapInArrow(_partial_grams(column, centre), "i int, j int, v double")
     return partial.groupBy("i", "j").agg(F.sum("v").alias("v"))
 

@@ -77,7 +77,7 @@ def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
 
 def fit_logit(df: DataFrame, label: str = "label", features: str = "features", weight: str | None = None, **params):
     """Elastic-net logistic regression (``regParam``, ``elasticNetParam``...)."""
-    est = LogisticRegression(labelCol=label, featuresCol=features, **{"maxIter": 200, "tol": 1e-10, **params})
+    est = LogisticRegression(labelCol=label, featuresCol=features, **{"maxIter": 200, "tol": 1e-8, **params})
     return (est.setWeightCol(weight) if weight else est).fit(df)
 
 

@@ -237,11 +237,17 @@ def ks_2samp(df: DataFrame, arm: str, y: str, arms=ARMS) -> DataFrame:
 
 
 def ks_1samp(df: DataFrame, column: str, mean: float | None = None, sd: float | None = None) -> DataFrame:
-    """One-sample test against a normal law (the sample's own moments by default)."""
+    """One-sample test against a normal law (the sample's own moments by default).
+
+    The p-value is that of a law known beforehand, so it is NULL where a moment is the sample's own.
+    """
+    known = mean is not None and sd is not None
     rows = df.select(num(column).alias("sample")).dropna()
     if mean is None or sd is None:
-        mean, sd = rows.agg(F.avg("sample"), F.stddev_samp("sample")).first()
-    return KolmogorovSmirnovTest.test(rows, "sample", "norm", float(mean), float(sd))
+        own = rows.agg(F.avg("sample"), F.stddev_samp("sample")).first()
+        mean, sd = own[0] if mean is None else mean, own[1] if sd is None else sd
+    found = KolmogorovSmirnovTest.test(rows, "sample", "norm", float(mean), float(sd))
+    return found if known else found.withColumn("pValue", F.lit(None).cast("double"))
 
 
 def jarque_bera(df: DataFrame, column: str | Column) -> DataFrame:

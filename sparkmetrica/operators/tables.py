@@ -192,6 +192,8 @@ def correlations(df: DataFrame, columns, kind: str = "pearson") -> DataFrame:
 def iqr_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Rows outside ``[q25 - k iqr, q75 + k iqr]`` with exact quartiles."""
     q = exact_quantiles(df, column, (0.25, 0.75)).first()
+    if q["q25"] is None:  # no value, no outlier
+        return df.where(F.lit(False))
     spread = k * (q["q75"] - q["q25"])
     return df.where(~num(column).between(q["q25"] - spread, q["q75"] + spread))
 

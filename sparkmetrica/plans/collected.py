@@ -24,8 +24,9 @@ RULES = {
 def _text_sql(x: str) -> str:
     out = f"regexp_replace({x}, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g')"
     out = f"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
-    for entity, char in P.ENTITIES:
-        out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    # the references that occur in the given pages, the ampersand's last so that none is decoded twice
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{char}')"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
@@ -71,7 +72,8 @@ def extraction_coverage(spark, folder):
 
 
 NORMAL_URL_SQL = """regexp_replace(lower(regexp_extract(regexp_replace(trim(url), '[?#].*$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]+)', 1))
-    || regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+', ''), '/+$', '')"""
+    || regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+', ''), '/+$', '')
+    || coalesce('?' || nullif(array_to_string(list_filter(string_split(coalesce(nullif(regexp_extract(url, '[?]([^#]*)', 1), ''), 'ref='), '&'), lambda p: NOT regexp_matches(p, '^(utm_source|ref)=')), '&'), ''), '')"""
 
 
 @query(
@@ -85,7 +87,7 @@ def dedupe_listings(spark, folder):
     """The same address collected on several days: the latest copy stays."""
     pages = load(spark, folder, "pages").withColumn("as_of", F.date_add(F.lit(datetime.date(2024, 1, 1)), (F.col("page_id") % 30).cast("int")))
     rows = pages.select("page_id", "url", "as_of")
-    return P.dedupe_listings(rows, {"url": P.normal_url("url")}, "as_of", "page_id")
+    return P.dedupe_listings(rows, {"url": P.normal_url("url", drop=["utm_source", "ref"])}, "as_of", "page_id")
 
 
 @query(

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,25 +15,32 @@ from pyspark.sql import functions as F
 from sparkmetrica.functions.scalars import col
 from sparkmetrica.operators.tables import dedupe
 
-# Character references of HTML, ampersand last so that none is decoded twice.
-ENTITIES = [
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&amp;", "&"),
-]
+NAMES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+REFERENCE = r"^(?:#(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}))|([a-zA-Z][a-zA-Z0-9]*));"
+
+
+def decode_references(text: Column) -> Column:
+    """Named and numeric character references as their characters, each decoded once; unknown ones stay as they are."""
+    named = F.create_map(*[F.lit(x) for item in NAMES.items() for x in item])
+
+    def decoded(piece: Column) -> Column:
+        part = lambda i: F.regexp_extract(piece, REFERENCE, i)
+        code = F.coalesce(F.conv(F.nullif(part(1), F.lit("")), 16, 10), F.nullif(part(2), F.lit(""))).try_cast("int")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"))
+        char = F.coalesce(char, F.try_element_at(named, part(3)))
+        return F.coalesce(F.concat(char, F.regexp_replace(piece, REFERENCE, "")), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    later = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
+    return F.when(text.contains("&"), F.concat(pieces[0], F.array_join(later, ""))).otherwise(text)
 
 
 def strip_tags(html: str | Column) -> Column:
     """Text of a piece of HTML: no scripts, styles, comments or tags; spaces collapsed."""
     text = F.regexp_replace(col(html), r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(decode_references(text), r"\s+", " "))
 
 
 def host(url: str | Column) -> Column:
@@ -40,12 +48,16 @@ def host(url: str | Column) -> Column:
     return F.when(found != "", found)
 
 
-def normal_url(url: str | Column) -> Column:
-    """Lower-case scheme and host, no query, fragment or trailing slash."""
-    bare = F.regexp_replace(F.trim(col(url)), r"[?#].*$", "")
+def normal_url(url: str | Column, drop=()) -> Column:
+    """Lower-case scheme and host, no fragment or trailing slash; the query without the parameters named in ``drop``."""
+    whole = F.regexp_replace(F.trim(col(url)), r"#.*$", "")
+    asked = F.regexp_extract(whole, r"\?(.*)$", 1)
+    kept = F.filter(F.split(asked, "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin([d.lower() for d in drop]))
+    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))
+    bare = F.regexp_replace(whole, r"\?.*$", "")
     head = F.lower(F.regexp_extract(bare, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]+)", 1))
     tail = F.regexp_replace(bare, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+", "")
-    return F.regexp_replace(F.concat(head, tail), r"/+$", "")
+    return F.concat(F.regexp_replace(F.concat(head, tail), r"/+$", ""), query)
 
 
 @dataclass(frozen=True)

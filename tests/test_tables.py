@@ -112,11 +112,18 @@ def test_filters_and_columns_reach_the_scan(spark):
 @pytest.mark.parametrize("html, text", [
     ("<p>a<br>b</p>", "a b"), ("<script>x('</p>')</script>ok", "ok"), ("<!-- no -->yes", "yes"),
     ("1 &lt; 2 &amp;amp; &quot;q&quot;&nbsp;", '1 < 2 &amp; "q"'), ("<b unclosed", "<b unclosed"),
+    ("&copy; 2024 &middot; &eacute;&#233;&#xE9; &#x1F600;", "© 2024 · ééé 😀"), ("a & b &unknown; &amp &#0; &#xD800; &#99999999;", "a & b &unknown; &amp &#0; &#xD800; &#99999999;"),
+    ("&Alpha;&alpha;&apos;", "Αα'"),
 ])
 def test_strip_tags(spark, html, text):
     assert spark.createDataFrame([(html,)], "h string").select(P.strip_tags("h")).first()[0] == text
 
 
+def test_no_quartiles_no_outliers(spark):
+    rows = spark.createDataFrame([(1, None), (2, None)], "id int, v double")
+    assert X.iqr_outliers(rows, "v").count() == 0 and X.winsorize(rows, "v").count() == 2
+
+
 def test_extract_types_and_hits(spark):
     pages = spark.createDataFrame([("u1", "<i>price: 12.5</i>"), ("u2", "<i>price: n/a</i>"), ("u3", ""), ("u4", None)], "url string, html string")
     records = P.extract(pages, {"price": P.Rule(r"price: ([^<]*)", type="double")})
@@ -136,7 +143,8 @@ def test_urls_and_listings(spark):
         [(1, "HTTP://Site.com/Flat/1/?a=b", "2024-01-01"), (2, "http://site.com/Flat/1#top", "2024-02-01"), (3, "http://site.com/Flat/2", "2024-01-01")],
         "id int, url string, d string",
     )
-    kept = P.dedupe_listings(rows, {"u": P.normal_url("url")}, "d", "id")
+    assert P.dedupe_listings(rows, {"u": P.normal_url("url")}, "d", "id").count() == 3  # ?a=b may be another page
+    kept = P.dedupe_listings(rows, {"u": P.normal_url("url", drop=["a"])}, "d", "id")
     assert sorted(r["id"] for r in kept.collect()) == [2, 3] and kept.columns == rows.columns
 
 
