@@ -60,10 +60,22 @@ def profile(spark, folder):
     return X.profile(load(spark, folder, "lineitem"), columns, exact=True)
 
 
-@query("profile_approx")
+@query(
+    "profile_approx",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS "count", count(*) - count({c}) AS missing, {f"avg({c})" if numeric else "NULL::double"} AS mean, true AS near FROM lineitem"""
+        for c, numeric in (("l_orderkey", True), ("l_partkey", True), ("l_quantity", True), ("l_extendedprice", True), ("l_returnflag", False))
+    ),
+    "mean",
+    digits=4,
+)
 def profile_approx(spark, folder):
-    """The default profile of a whole table: distinct counts by sketch."""
-    return X.profile(load(spark, folder, "lineitem"))
+    """The default profile, with distinct counts by sketch; ``near``: within three standard errors (5 % each) of the exact count."""
+    rows = load(spark, folder, "lineitem")
+    columns = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"]
+    exact = X.profile(rows, columns, exact=True).select("column", F.col("distinct").alias("true"))
+    near = F.abs(F.col("distinct") - F.col("true")) <= F.greatest(F.col("true") * 0.15, F.lit(1))
+    return X.profile(rows, columns).join(exact, "column").select("column", "count", "missing", "mean", near.alias("near"))
 
 
 @query(
@@ -80,9 +92,22 @@ def quantiles_exact(spark, folder):
     return X.quantiles(load(spark, folder, "lineitem"), columns, (0.05, 0.25, 0.5, 0.975), exact=True)
 
 
-@query("quantiles_approx")
+@query(
+    "quantiles_approx",
+    " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS n, true AS q25, true AS q50, true AS q75 FROM lineitem""" for c in ("l_extendedprice", "l_quantity", "l_tax")),
+)
 def quantiles_approx(spark, folder):
-    return X.quantiles(load(spark, folder, "lineitem"), ["l_extendedprice", "l_quantity", "l_tax"])
+    """Whether the rank of each quantile by sketch is within the stated 1 / 10000 of the rows."""
+    rows, columns = load(spark, folder, "lineitem"), ["l_extendedprice", "l_quantity", "l_tax"]
+    found = {r["column"]: r for r in X.quantiles(rows, columns).collect()}  # one row per column
+    parts = []
+    for c in columns:
+        near = [
+            ((F.avg((F.col(c) < found[c][q]).cast("int")) <= p + 1e-4) & (F.avg((F.col(c) <= found[c][q]).cast("int")) >= p - 1e-4)).alias(q)
+            for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
+        ]
+        parts.append(rows.agg(F.lit(c).alias("column"), F.count(c).alias("n"), *near).select("column", "n", "q25", "q50", "q75"))
+    return X.concat(parts)
 
 
 @query(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "sparkmetrica", cores: str = "*", **conf: str) -> SparkSession:
-    """A local session with the settings the library is tested under."""
+    """A local session with the settings the library is tested under; on a cluster use its own session."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -38,8 +40,9 @@ def settle(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if not (sc.master == "local" or sc.master.startswith("local[")):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="sparkmetrica-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
