@@ -25,7 +25,13 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def bound_batches(spark) -> None:
+    """Arrow batches of 8 MB: the default of 64 MB is held in the JVM and in Python for every task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(spark, folder: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

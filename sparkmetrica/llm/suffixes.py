@@ -27,7 +27,7 @@ from sparkmetrica.llm.common import U, mix, rolling
 
 WINDOW = 100
 ANCHOR = 24
-PART = 1 << 20  # windows handled at once
+PART = 1 << 18  # windows handled at once
 BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 PAIR = np.dtype([("anchor", "<u8"), ("run", "<u8")])
 
