@@ -149,7 +149,7 @@ def near_duplicates(
     nodes = settle(rows.groupBy("fp").agg(F.min("doc").alias("first")))
     roots = components(links(nodes.select("fp"), distance, blocks)).withColumnRenamed("node", "fp")
     joined = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component"))
+    smallest = settle(joined.groupBy("root").agg(F.min("first").alias("component")))  # so that the join may split a hot root
     labels = joined.join(smallest, "root").select("fp", "component")
     return rows.join(labels, "fp").select("doc", "text_hash", "fp", "component")
 
@@ -277,6 +277,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = settle(rows.groupBy("node", *columns).agg(F.min("doc").alias("first")))
     roots = components(similar_links(nodes.drop("first"), tables, distance))
     joined = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component"))
+    smallest = settle(joined.groupBy("root").agg(F.min("first").alias("component")))  # so that the join may split a hot root
     labels = joined.join(smallest, "root").select("node", "component")
     return rows.join(labels, "node").select("doc", "text_hash", "component")
