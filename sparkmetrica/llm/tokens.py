@@ -13,9 +13,9 @@ import re
 
 import numpy as np
 
-ODD = re.compile(r"\s\s|\A\s|\s\Z")
+SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]  # white space other than the two cut at
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-KEPT = 400_000  # pieces in each of the two generations of the cache
+KEPT = 250_000  # pieces in each of the two generations of the cache
 
 
 MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\"
@@ -31,45 +31,45 @@ def byte_letters() -> dict[int, str]:
 LETTERS = byte_letters()
 
 
-class Pieces:
-    """Ids of pieces (words with the space before them, if any): made once, kept while they are in use."""
+class Pieces(dict):
+    """Ids of pieces (words with the space before them, if any): made where they are first met, kept while they are in use."""
 
     def __init__(self, tokenizer, space: str):
+        super().__init__()
         self.space, self.model, self.cut = space, tokenizer.model, tokenizer.pre_tokenizer
         self.lead = LETTERS[32] if space else ""
         self.marks: dict[str, bytes] = {}
-        self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.number = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
 
     def spell(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+        return b"".join([self.number[t.id] for t in self.model.tokenize(word)])
 
     def make(self, piece: str) -> bytes:
         if piece.isalpha():  # letters are one pre-token
-            return self.spell(self.lead + (piece if piece.isascii() else "".join(LETTERS[b] for b in piece.encode())))
+            return self.spell(self.lead + (piece if piece.isascii() else "".join([LETTERS[b] for b in piece.encode()])))
         core = piece.rstrip(MARKS)
         if core.isalpha():  # letters and marks are two
             marks = piece[len(core) :]
             if marks not in self.marks:
                 self.marks[marks] = self.spell(marks)
-            return self.take(core) + self.marks[marks]
-        return b"".join(self.spell(p) for p, _ in self.cut.pre_tokenize_str(self.space + piece))
-
-    def take(self, piece: str) -> bytes:
-        got = self.new.get(piece) or self.old.get(piece) or self.make(piece)
-        self.new[piece] = got
+            return self[core] + self.marks[marks]
+        return b"".join([self.spell(p) for p, _ in self.cut.pre_tokenize_str(self.space + piece)])
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = self.make(piece)
+        self[piece] = got
         return got
 
-    def of(self, pieces: set[str]) -> dict[str, bytes]:
-        if len(self.new) > KEPT:
-            self.new, self.old = {}, self.new
-        new, old = self.new, self.old
-        for p in pieces:
-            if p not in new:
-                new[p] = old[p] if p in old else self.make(p)
+    def turn(self) -> None:
+        """Between texts: starts a new generation when this one is full."""
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
         if len(self.marks) > KEPT:
             self.marks = {}
-        return new
 
 
 class Encoder:
@@ -87,27 +87,24 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def one(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        lines = [line.split(" ") for line in text.split("\n")]
+        if any("" in line for line in lines) or any(c in text for c in SPACES):
+            lines = [SAFE.split(text)]
+        head, tail = self.heads, self.tails.__getitem__
+        return self.line.join([head[x[0]] + b"".join(map(tail, x[1:])) for x in lines])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut: list[list[list[str]] | bytes] = []
-        heads: set[str] = set()
-        tails: set[str] = set()
+        out = []
         for text in texts:
-            if not text:
-                cut.append(b"")
-                continue
-            if any(s in text for s in self.special):
-                cut.append(self.whole(text))
-                continue
-            lines = [SAFE.split(text)] if ODD.search(text) else [line.split(" ") for line in text.split("\n")]
-            for line in lines:
-                heads.add(line[0])
-                tails.update(line[1:])
-            cut.append(lines)
-        head, tail = self.heads.of(heads), self.tails.of(tails)
-        return [
-            lines if isinstance(lines, bytes) else self.line.join(b"".join([head[x[0]], *map(tail.__getitem__, x[1:])]) for x in lines)
-            for lines in cut
-        ]
+            self.heads.turn()
+            self.tails.turn()
+            out.append(self.one(text))
+        return out
 
 
 ENCODERS: dict[str, Encoder] = {}

@@ -22,7 +22,7 @@ from sparkmetrica.llm.tokens import encoder, token_path
 from sparkmetrica.session import settle
 
 MAGIC = b"WMX1"
-SHARD_BYTES = 16 << 20  # text in a shard
+SHARD_BYTES = 8 << 20  # text in a shard
 STEP = 512  # bits between counts
 SHARD = "shard long, n_docs long, n_tokens long, data binary"
 
@@ -39,7 +39,7 @@ def encode(docs: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """File of a shard: header, documents, alphabet by falling frequency, then zeros, bits and counts of each plane."""
     count = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     alphabet = np.argsort(-count, kind="stable")[: int((count > 0).sum())].astype("<u4")
-    rank = np.zeros(len(count), np.uint32)
+    rank = np.zeros(len(count), np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)  # small codes move faster
     rank[alphabet] = np.arange(len(alphabet))
     planes = max(1, int(len(alphabet) - 1).bit_length())
     out = [MAGIC, struct.pack("<4Q", len(docs), len(ids), len(alphabet), planes)]
@@ -142,13 +142,14 @@ class Shard:
 
     def decode(self) -> np.ndarray:
         """All tokens, from the last plane up: each plane puts back what it parted."""
-        code = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        code = np.zeros(self.n, kind)
         for p in range(len(self.planes) - 1, -1, -1):
             zeros, bits, _ = self.planes[p]
             bit = np.unpackbits(bits.view(np.uint8), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(code)
             above[~bit] = code[:zeros]
-            above[bit] = code[zeros:] | np.uint32(1 << (len(self.planes) - 1 - p))
+            above[bit] = code[zeros:] | kind(1 << (len(self.planes) - 1 - p))
             code = above
         return self.alphabet[code]
 
