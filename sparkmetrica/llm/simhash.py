@@ -1,21 +1,25 @@
-"""SimHash near-duplicates by pigeonhole blocks.
+"""SimHash near-duplicates by pigeonhole blocks, and exact near-duplicates by Jaccard similarity.
 
 Two 64-bit fingerprints that differ in at most ``distance`` bits agree on
 ``blocks - distance`` of any ``blocks`` blocks of bits, so every choice of that many
 blocks is one join key (20 keys of about 32 bits for 6 blocks and 3 bits).
+
+The pipeline compares sets of distinct shingles: two sets with a similarity of t or more share one of the first
+``size - ceil(t * size) + 1`` shingles of each in any common order, so these are the join keys.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmetrica.llm.common import U, mix, per_batch, rolling, words
+from sparkmetrica.llm.common import U, per_batch, rolling, words
 from sparkmetrica.llm.components import components
 from sparkmetrica.session import settle
 
@@ -24,9 +28,10 @@ CHUNK = 1 << 16  # shingles whose bits are counted at once
 SMALL = 32  # buckets up to this size are joined row by row
 LARGE = 1 << 14  # buckets above this size are split by further bits
 WORDS = 8
-WIDTH = 64 * WORDS  # bits of the wide fingerprint
-SIMILAR = 82  # of them may differ; at a Jaccard similarity of 0.8 78 do on average, at 0.7 98
-TABLES = 64
+WIDTH = 64 * WORDS  # bits of a sketch
+SIMILAR = 0.8  # Jaccard similarity of near copies
+COMMON = 64  # shingles more often than this among the first of the documents come last in their order
+MOST = 1 << 18  # of them at most, the most frequent
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -154,14 +159,14 @@ def near_duplicates(
     return rows.join(labels, "fp").select("doc", "text_hash", "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tables: int = TABLES, distance: int = SIMILAR) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
     """``docs`` with one row of every group of similar documents: the one with the smallest id.
 
-    Similar documents have wide fingerprints that differ in at most ``distance`` of ``WIDTH`` bits, which
-    estimates a Jaccard similarity of their shingles of 0.8 or more. A group of rows with NULL ids only keeps the one with the smallest text
+    Similar documents have sets of distinct shingles with a Jaccard similarity of ``similarity`` or more; all such pairs are
+    found at every size of ``docs``. A group of rows with NULL ids only keeps the one with the smallest text
     hash; of rows equal in id and text one stays. Texts without a word are one group. All columns are kept.
     """
-    found = similar_documents(docs, id_col, text_col, shingle, tables, distance)
+    found = similar_documents(docs, id_col, text_col, shingle, similarity)
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "text_hash")).alias("best"))
     best = best.select(F.col("best.doc").alias("doc"), F.col("best.text_hash").alias("hash")).distinct()
     names = [f"c{i}" for i in range(len(docs.columns))]  # no column of the input clashes
@@ -173,110 +178,157 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return kept.select(*names).toDF(*docs.columns)
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
-    """SimHash of ``WIDTH`` bits of the whole text's shingles as unsigned words; 0 if there is no word."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted 64-bit names of the distinct word shingles of a text; a text of fewer words is one shingle, one without a word has none."""
     found = words(text, lower=True)
     if not found:
-        return np.zeros(WORDS, np.uint64)
-    length = min(shingle, len(found))
-    n = len(found) - length + 1
-    ones = np.zeros(WIDTH, np.int64)
-    for start in range(0, n, CHUNK // 8):
-        part = found[start : start + CHUNK // 8 + length - 1]
-        names = rolling(np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part)), length)
-        h = np.stack([mix(names + U(i * 0x9E3779B97F4A7C15 % 2**64)) for i in range(WORDS)], axis=1)
-        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)
-
-
-def table_keys(rows: DataFrame, bits: int, tables: int, seed: int = 1) -> DataFrame:
-    """``(key, node)`` for every table: the key names the table and ``bits`` bits of the fingerprint, each table taking others."""
-    rng = np.random.default_rng(seed)
-    masks = np.zeros((tables, WIDTH), np.uint8)
-    for m in masks:
-        m[rng.choice(WIDTH, bits, replace=False)] = 1
-    masks = np.packbits(masks, axis=1, bitorder="little").view(np.uint64)
-    columns = [f"w{i}" for i in range(WORDS)]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = np.stack([batch.column(c).to_numpy() for c in columns], axis=1).view(np.uint64)
-        base = batch.column("base").to_numpy().view(np.uint64)
-        out = []
-        for t, m in enumerate(masks):
-            key = base + U((t + 1) * 0xD6E8FEB86659FD93 % 2**64)
-            for i in range(WORDS):
-                key = mix(key + (w[:, i] & m[i]))
-            out.append(key.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.tile(batch.column("node").to_numpy(), tables))], ["key", "node"])
-
-    return rows.select("node", "base", *columns).mapInArrow(per_batch(run), "key long, node long")
-
-
-def similar_inside(node: np.ndarray, w: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside a bucket; every row is visited once."""
-    rest = np.arange(len(node))
-    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    while len(rest):
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            x = queue.pop()
-            near = np.bitwise_count(w[rest] ^ w[x]).sum(axis=1) <= distance
-            if near.any():
-                new = rest[near]
-                starts.append(np.full(len(new), node[x]))
-                ends.append(node[new])
-                queue.extend(new.tolist())
-                rest = rest[~near]
-    return np.concatenate(starts), np.concatenate(ends)
+        return np.zeros(0, np.uint64)
+    return np.unique(rolling(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)), min(shingle, len(found))))
 
 
-def similar_links(nodes: DataFrame, tables: int, distance: int) -> DataFrame:
-    """Edges ``(a, b)`` between similar rows of ``nodes(node, w0..)``: those that share the bits of a table, verified on all bits.
+def sketch(names: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles that fall on each of ``WIDTH`` bits is odd, as unsigned words.
 
-    A table takes two bits more than number the nodes, so that unrelated rows seldom meet. At the distance of similarity 0.8 a pair
-    meets in one of 64 tables with a chance of 0.9, at 0.85 of 0.98, at 0.9 of 0.999. Buckets above ``LARGE`` are split by the bits of eight fresh tables on
-    top of their key, of more bits each time; with all bits no two nodes meet.
+    Two sketches differ in at most as many bits as there are shingles in one set only.
     """
+    odd = np.bincount((names & U(WIDTH - 1)).astype(np.int64), minlength=WIDTH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def first_shingles(names: np.ndarray, common: np.ndarray, similarity: float, times: int = 1) -> np.ndarray:
+    """So many first shingles of a set, those in ``common`` (sorted) last, that similar sets share one; or ``times`` as many."""
+    n = len(names)
+    if n and len(common):
+        late = common[np.minimum(np.searchsorted(common, names), len(common) - 1)] == names
+        names = np.concatenate([names[~late], names[late]])
+    return names[: times * (n - math.ceil(similarity * n - 1e-9) + 1)]
+
+
+def common_shingles(texts: DataFrame, shingle: int, similarity: float) -> np.ndarray:
+    """Names of shingles that many texts would have among their first. Which they are changes the size of buckets only, not the pairs found."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        none = np.zeros(0, np.uint64)
+        names, n = np.unique(np.concatenate([none, *(first_shingles(shingles(t.as_py(), shingle), none, similarity, 2) for t in batch.column("text"))]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    counts = texts.mapInArrow(per_batch(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(f"n > {COMMON}")
+    counts = settle(counts.withColumn("power", F.floor(F.log2("n")).cast("int")))
+    least, total = 99, 0
+    for power, n in sorted(counts.groupBy("power").count().collect(), reverse=True):
+        total += n
+        if total > MOST:
+            break
+        least = power
+    return np.sort(np.array([r[0] for r in counts.where(F.col("power") >= least).select("key").collect()], np.int64).view(np.uint64))
+
+
+def may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether sizes and sketches of two sets allow the similarity; true of all that have it."""
+    columns = [f"w{i}" for i in range(WORDS)]
+    apart = sum((F.bit_count(F.col(a + x).bitwiseXOR(F.col(b + x))) for x in columns), F.lit(0))
+    m, n = F.col(a + "size"), F.col(b + "size")
+    return (F.least(m, n) >= F.greatest(m, n) * similarity - 1e-9) & (apart <= (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+
+def candidates_inside(similarity: float):
+    """Searches one pair of blocks of a bucket for pairs of different components that may be similar."""
     columns = [f"w{i}" for i in range(WORDS)]
 
     def search(key, bucket):
         w = np.stack([bucket.column(c).to_numpy() for c in columns], axis=1).view(np.uint64)
-        a, b = similar_inside(bucket.column("node").to_numpy(), w, distance)
-        return pa.table({"a": a, "b": b})
+        node, size, root, part = (bucket.column(c).to_numpy() for c in ("node", "size", "root", "part"))
+        names, back, n = np.unique(root, return_inverse=True, return_counts=True)
+        lows, highs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        across = key[1].as_py() != key[2].as_py()
+        for x in np.flatnonzero(back != n.argmax()):  # of two components one is not the largest
+            far = root != root[x]
+            if across:
+                far &= part != part[x]
+            other = np.flatnonzero(far & (np.minimum(size, size[x]) >= np.maximum(size, size[x]) * similarity - 1e-9))
+            most = (size[other] + size[x]) * ((1 - similarity) / (1 + similarity)) + 1e-9
+            other = other[np.bitwise_count(w[other] ^ w[x]).sum(axis=1) <= most]
+            lows.append(np.minimum(node[other], node[x]))
+            highs.append(np.maximum(node[other], node[x]))
+        pairs = np.unique(np.stack([np.concatenate(lows), np.concatenate(highs)], axis=1), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return search
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets of shingles have the similarity; ``texts`` has one text for each node."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        same = []
+        for a, b in zip(batch.column("at"), batch.column("bt"), strict=True):
+            x, y = shingles(a.as_py(), shingle), shingles(b.as_py(), shingle)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            same.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        return batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    own = settle(texts.join(needed, "node", "left_semi"))
+    left, right = (own.select(F.col("node").alias(c), F.col("text").alias(c + "t")) for c in "ab")
+    return settle(pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(per_batch(run), "a long, b long"))
 
-    bits = min(WIDTH // 2, max(16, (max(1, nodes.count()) - 1).bit_length() + 2))
-    rows, out, turn = table_keys(nodes.withColumn("base", F.lit(0).cast("long")), bits, tables), None, 1
-    while True:
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        shared = settle(rows.join(sizes, "key"))
-        full = shared.where(f"size <= {LARGE}").join(nodes, "node")
-        small = full.where(f"size <= {SMALL}")
-        a, b = (small.select("key", F.col("node").alias(c), *[F.col(x).alias(c + x) for x in columns]) for c in "ab")
-        apart = sum((F.bit_count(F.col("a" + x).bitwiseXOR(F.col("b" + x))) for x in columns), F.lit(0))
-        pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (apart <= distance)).select("a", "b")
-        found = pairs.union(full.where(f"size > {SMALL}").groupBy("key").applyInArrow(search, "a long, b long"))
-        out = found if out is None else out.union(found)
-        hot = shared.where(f"size > {LARGE}")
-        if hot.isEmpty():
-            return out.distinct()
-        turn += 1
-        rows = settle(table_keys(hot.join(nodes, "node").withColumnRenamed("key", "base"), min(WIDTH, 8 * turn), 8, seed=turn).distinct())
 
+def similar_links(nodes: DataFrame, keys: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges ``(a, b)`` that connect exactly the nodes that pairs of the similarity connect.
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tables: int = TABLES, distance: int = SIMILAR) -> DataFrame:
-    """``(doc, text_hash, component)`` for every row: rows linked by similar wide fingerprints share the smallest id of their group."""
+    Every such pair shares one of ``keys(key, node)``. The nodes of a key are compared with its smallest node first, then all pairs
+    that this has not connected. Buckets above ``LARGE`` are compared block against block, which loses no pair.
+    """
+    columns = ["size", *[f"w{i}" for i in range(WORDS)]]
+    left, right = (nodes.select(F.col("node").alias(c), *[F.col(x).alias(c + x) for x in columns]) for c in "ab")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1")
+    shared = settle(keys.join(buckets, "key"))
+    stars = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    stars = settle(stars.join(left, "a").join(right, "b").where(may_be_similar("a", "b", similarity)).select("a", "b"))
+    found = verified(stars, texts, shingle, similarity)
+
+    roots = components(found)
+    labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", *columns)
+    full = shared.select("key", "node", "n").join(labelled, "node")
+    unlike = full.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    full = settle(full.join(unlike, "key"))
+    small = full.where(f"n <= {SMALL}")
+    a, b = (small.select("key", F.col("node").alias(c), *[F.col(x).alias(c + x) for x in ("root", *columns)]) for c in "ab")
+    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & may_be_similar("a", "b", similarity)).select("a", "b")
+    large = full.where(f"n > {SMALL}")
+    large = large.withColumn("i", F.lit(0)).withColumn("j", F.lit(0)).withColumn("part", F.lit(0))
+    more = large.groupBy("key", "i", "j").applyInArrow(candidates_inside(similarity), "a long, b long")
+    left_over = settle(pairs.union(more).distinct().join(stars, ["a", "b"], "left_anti"))
+    return found.union(verified(left_over, texts, shingle, similarity))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
+    """``(doc, text_hash, component)`` for every row: rows linked by similar sets of shingles share the smallest id of their group."""
     columns = [f"w{i}" for i in range(WORDS)]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).reshape(-1, WORDS).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text_hash"), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(WORDS))], ["doc", "text_hash", *columns])
+    def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t.as_py(), shingle) for t in batch.column("text")]
+        w = np.array([sketch(x) for x in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+        node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+        size = np.array([len(x) for x in sets], np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text_hash"), pa.array(node), pa.array(size), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(WORDS))], ["doc", "text_hash", "node", "size", *columns])
+
+    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t.as_py(), shingle) for t in batch.column("text")]
+        node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+        first = [first_shingles(x, common, similarity) for x in sets]
+        key = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(node, [len(x) for x in first]))], ["key", "node"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    rows = rows.mapInArrow(per_batch(run), "doc long, text_hash long, " + ", ".join(f"{c} long" for c in columns))
-    rows = settle(rows.withColumn("node", F.xxhash64(*columns)))
-    nodes = settle(rows.groupBy("node", *columns).agg(F.min("doc").alias("first")))
-    roots = components(similar_links(nodes.drop("first"), tables, distance))
+    only = rows.select("text")
+    common = common_shingles(only, shingle, similarity)
+    found = settle(rows.mapInArrow(per_batch(sketched), "doc long, text_hash long, node long, size long, " + ", ".join(f"{c} long" for c in columns)))
+    nodes = settle(found.groupBy("node", "size", *columns).agg(F.min("doc").alias("first"), F.min("text_hash").alias("text_hash")))
+    keys = settle(only.mapInArrow(per_batch(keyed), "key long, node long").distinct())
+    texts = rows.groupBy("text_hash").agg(F.first("text").alias("text")).join(nodes.select("node", "text_hash"), "text_hash").select("node", "text")
+    roots = components(similar_links(nodes.drop("first", "text_hash"), keys, texts, shingle, similarity))
     joined = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = settle(joined.groupBy("root").agg(F.min("first").alias("component")))  # so that the join may split a hot root
     labels = joined.join(smallest, "root").select("node", "component")
-    return rows.join(labels, "node").select("doc", "text_hash", "component")
+    return found.join(labels, "node").select("doc", "text_hash", "component")

@@ -148,6 +148,52 @@ def test_one_document_of_each_group_stays(spark, docs, rows):
     assert set(alone) <= {i for i, _ in found}
 
 
+def near_groups(texts, similarity=0.8):
+    """Groups by the exact Jaccard similarity of the distinct five-word shingles of every pair."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    up, alike = list(range(len(texts))), []
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            s = both / (len(sets[i]) + len(sets[j]) - both)
+            alike.append(s)
+            if s >= similarity:
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(texts))], alike
+
+
+def pairs_of_similarity(seed, n):
+    """``n`` texts of 60 to 400 words, each followed by a copy with some words changed; similarities from 0.7 to 0.95."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for k in range(n):
+        w = [f"w{int(x)}" for x in rng.integers(0, 50_000, int(rng.integers(60, 400)))]
+        texts.append(" ".join(w))
+        want, size = 0.7 + 0.25 * k / n, len(w) - 4
+        for at in rng.choice(len(w) // 5, max(1, round((1 - want) / (1 + want) * size / 5)), replace=False):
+            w[5 * int(at)] = f"new{k}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_near_copies_are_those_of_exact_jaccard(spark):
+    texts = pairs_of_similarity(4, 150)
+    want, alike = near_groups(texts)
+    assert sum(0.8 <= s < 0.83 for s in alike) > 5 and sum(0.77 < s < 0.8 for s in alike) > 5
+    found = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc: r.component for r in found.collect()} == dict(enumerate(want))
+
+
 def test_wavelet_files(spark, docs, rows):
     from tokenizers import Tokenizer
 
