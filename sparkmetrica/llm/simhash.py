@@ -231,6 +231,23 @@ def may_be_similar(a: str, b: str, similarity: float) -> Column:
     return (F.least(m, n) >= F.greatest(m, n) * similarity - 1e-9) & (apart <= (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-9)
 
 
+def block_pairs(large: DataFrame) -> DataFrame:
+    """Rows of ``large(key, node, root, ..)`` with ``part``, once for each pair ``(i, j)`` of blocks of their bucket that is to be compared.
+
+    The rows of a bucket's most frequent component make blocks of up to about ``LARGE`` rows with numbers below zero, the others blocks from 0 on.
+    All pairs of blocks are there but those within the most frequent component, which is connected already.
+    """
+    roots = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
+    main = roots.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("main"), F.sum("rows").alias("all"))
+    up = lambda n: F.ceil(n / F.lit(LARGE)).cast("long")
+    main = main.select("key", F.col("main.root").alias("main"), up(F.col("main.rows")).alias("mains"), up(F.col("all") - F.col("main.rows")).alias("odds"))
+    rows = large.join(main, "key").withColumn("odd", F.col("root") != F.col("main"))
+    place = F.when(F.col("odd"), F.pmod(F.xxhash64("node"), F.col("odds"))).otherwise(-1 - F.pmod(F.xxhash64("node"), F.col("mains")))
+    others = F.when(F.col("odd"), F.sequence(-F.col("mains"), F.col("odds") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("odds") - 1))
+    rows = rows.withColumn("part", place).withColumn("other", F.explode(others))
+    return rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("main", "mains", "odds", "odd", "other")
+
+
 def candidates_inside(similarity: float):
     """Searches one pair of blocks of a bucket for pairs of different components that may be similar."""
     columns = [f"w{i}" for i in range(WORDS)]
@@ -296,8 +313,7 @@ def similar_links(nodes: DataFrame, keys: DataFrame, texts: DataFrame, shingle:
     a, b = (small.select("key", F.col("node").alias(c), *[F.col(x).alias(c + x) for x in ("root", *columns)]) for c in "ab")
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & may_be_similar("a", "b", similarity)).select("a", "b")
     large = full.where(f"n > {SMALL}")
-    large = large.withColumn("i", F.lit(0)).withColumn("j", F.lit(0)).withColumn("part", F.lit(0))
-    more = large.groupBy("key", "i", "j").applyInArrow(candidates_inside(similarity), "a long, b long")
+    more = block_pairs(large).groupBy("key", "i", "j").applyInArrow(candidates_inside(similarity), "a long, b long")
     left_over = settle(pairs.union(more).distinct().join(stars, ["a", "b"], "left_anti"))
     return found.union(verified(left_over, texts, shingle, similarity))
 

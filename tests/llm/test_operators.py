@@ -194,6 +194,28 @@ def test_near_copies_are_those_of_exact_jaccard(spark):
     assert {r.doc: r.component for r in found.collect()} == dict(enumerate(want))
 
 
+def test_hot_buckets_keep_all_near_copies(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = []
+    for group in range(3):
+        base = [f"g{group}w{k}" for k in range(200)]
+        for k in range(70):
+            w = list(base)
+            for at in rng.choice(40, int(rng.integers(2, 6)), replace=False):
+                w[5 * int(at)] = f"x{group}n{k}"
+            texts.append(" ".join(w))
+    stream = [f"s{k}" for k in range(700)]
+    texts += [" ".join(stream[8 * k : 8 * k + 100]) for k in range(60)]
+    want, _ = near_groups(texts)
+    assert 6 < len(set(want)) < 200
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for small, large in ((32, 1 << 14), (4, 1 << 14), (4, 12)):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        monkeypatch.setattr(simhash, "LARGE", large)
+        found = simhash.similar_documents(table).collect()
+        assert {r.doc: r.component for r in found} == dict(enumerate(want))
+
+
 def test_wavelet_files(spark, docs, rows):
     from tokenizers import Tokenizer
 
