@@ -277,9 +277,11 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     """The pairs ``(a, b)`` whose sets of shingles have the similarity; ``texts`` has one text for each node."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same = []
-        for a, b in zip(batch.column("at"), batch.column("bt"), strict=True):
-            x, y = shingles(a.as_py(), shingle), shingles(b.as_py(), shingle)
+        same, last, y = [], None, None
+        for a, b, node in zip(batch.column("at"), batch.column("bt"), batch.column("b").to_pylist(), strict=True):
+            x = shingles(a.as_py(), shingle)
+            if node != last:  # pairs come in runs of one b
+                last, y = node, shingles(b.as_py(), shingle)
             both = len(np.intersect1d(x, y, assume_unique=True))
             same.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
         return batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
@@ -290,8 +292,8 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return settle(pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(per_batch(run), "a long, b long"))
 
 
-def similar_links(nodes: DataFrame, keys: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges ``(a, b)`` that connect exactly the nodes that pairs of the similarity connect.
+def similar_roots(nodes: DataFrame, keys: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(node, root)`` for every node: those that pairs of the similarity connect share a root.
 
     Every such pair shares one of ``keys(key, node)``. The nodes of a key are compared with its smallest node first, then all pairs
     that this has not connected. Buckets above ``LARGE`` are compared block against block, which loses no pair.
@@ -302,10 +304,8 @@ def similar_links(nodes: DataFrame, keys: DataFrame, texts: DataFrame, shingle:
     shared = settle(keys.join(buckets, "key"))
     stars = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
     stars = settle(stars.join(left, "a").join(right, "b").where(may_be_similar("a", "b", similarity)).select("a", "b"))
-    found = verified(stars, texts, shingle, similarity)
-
-    roots = components(found)
-    labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", *columns)
+    roots = components(verified(stars, texts, shingle, similarity))
+    labelled = settle(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", *columns))
     full = shared.select("key", "node", "n").join(labelled, "node")
     unlike = full.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     full = settle(full.join(unlike, "key"))
@@ -315,7 +315,11 @@ def similar_links(nodes: DataFrame, keys: DataFrame, texts: DataFrame, shingle:
     large = full.where(f"n > {SMALL}")
     more = block_pairs(large).groupBy("key", "i", "j").applyInArrow(candidates_inside(similarity), "a long, b long")
     left_over = settle(pairs.union(more).distinct().join(stars, ["a", "b"], "left_anti"))
-    return found.union(verified(left_over, texts, shingle, similarity))
+    more = verified(left_over, texts, shingle, similarity)
+    a, b = (labelled.select(F.col("node").alias(c), F.col("root").alias(c + "root")) for c in "ab")
+    joined = components(more.join(a, "a").join(b, "b").select(F.col("aroot").alias("a"), F.col("broot").alias("b")))
+    joined = joined.select(F.col("node").alias("root"), F.col("root").alias("last"))
+    return labelled.select("node", "root").join(joined, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
@@ -343,8 +347,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = settle(found.groupBy("node", "size", *columns).agg(F.min("doc").alias("first"), F.min("text_hash").alias("text_hash")))
     keys = settle(only.mapInArrow(per_batch(keyed), "key long, node long").distinct())
     texts = rows.groupBy("text_hash").agg(F.first("text").alias("text")).join(nodes.select("node", "text_hash"), "text_hash").select("node", "text")
-    roots = components(similar_links(nodes.drop("first", "text_hash"), keys, texts, shingle, similarity))
-    joined = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    roots = similar_roots(nodes.drop("first", "text_hash"), keys, texts, shingle, similarity)
+    joined = settle(nodes.select("node", "first").join(roots, "node").select("node", "first", "root"))
     smallest = settle(joined.groupBy("root").agg(F.min("first").alias("component")))  # so that the join may split a hot root
     labels = joined.join(smallest, "root").select("node", "component")
     return found.join(labels, "node").select("doc", "text_hash", "component")

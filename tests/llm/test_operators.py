@@ -216,6 +216,16 @@ def test_hot_buckets_keep_all_near_copies(spark, monkeypatch):
         assert {r.doc: r.component for r in found} == dict(enumerate(want))
 
 
+def test_a_repeated_line_makes_no_near_copies(spark):
+    line = " ".join(f"line{k}" for k in range(12))
+    texts = []
+    for d in range(12):
+        own = [f"d{d}w{k}" for k in range(100)]
+        texts.append(" ".join([*own, *[line] * (10 if d % 2 else 20)]))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(table).collect()) == list(range(12))
+
+
 def test_wavelet_files(spark, docs, rows):
     from tokenizers import Tokenizer
 
