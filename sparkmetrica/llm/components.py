@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmetrica.session import settle
+from sparkmetrica.session import discard, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,18 +26,20 @@ def components(edges: DataFrame) -> DataFrame:
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
         follow = both.groupBy("node").agg(F.min(rank("near")).alias("best"))
-        follow = follow.select("node", F.least(rank("node"), F.col("best"))["n"].alias("to"))
-        follow = settle(follow)
+        follow = settle(follow.select("node", F.least(rank("node"), F.col("best"))["n"].alias("to")))
         if labels is None:
-            labels = follow.select("node", F.col("to").alias("root"))
+            labels = settle(follow.select("node", F.col("to").alias("root")))
         else:
             step = follow.select(F.col("node").alias("root"), "to")
-            labels = labels.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        labels = settle(labels)
+            before = labels
+            labels = settle(before.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+            discard(before)
         a = follow.select(F.col("node").alias("a"), F.col("to").alias("x"))
         b = follow.select(F.col("node").alias("b"), F.col("to").alias("y"))
         moved = edges.join(a, "a").join(b, "b").where("x <> y")
-        edges = settle(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        moved = settle(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(edges, follow)
+        edges = moved
     if labels is None:
         labels = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return labels

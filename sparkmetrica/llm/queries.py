@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkmetrica.llm import anchors, decontam, langid, licences, packing, parsing, quality, simhash, suffixes, wavelet
 from sparkmetrica.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
+from sparkmetrica.session import shared_folder
 
 
 @query("op5_simhash")
@@ -79,7 +80,7 @@ def op7_suffixes(spark, folder):
 @query("op6_wavelet")
 def op6_wavelet(spark, folder):
     """Token ids of every text, written to wavelet-matrix shards and read back from them."""
-    place = wavelet.shared_folder(spark)
+    place = shared_folder(spark, "shards")
     wavelet.write_shards(table(spark, folder, "documents"), place)
     found = wavelet.read_documents(spark, place)
     return found.select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

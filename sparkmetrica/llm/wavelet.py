@@ -10,7 +10,6 @@ compressed by zstd.
 from __future__ import annotations
 
 import struct
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 
 from sparkmetrica.llm.blocks import Blocks, ordered
 from sparkmetrica.llm.tokens import encoder, token_path
-from sparkmetrica.session import settle
 
 MAGIC = b"WMX1"
 SHARD_BYTES = 8 << 20  # text in a shard
@@ -154,13 +152,6 @@ class Shard:
         return self.alphabet[code]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder, which the driver and all executors see."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        settle(spark.range(0))  # sets it from spark.checkpoint.dir, or a private one in local mode
-    return f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
-
-
 def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> None:
     """Writes the ids of every text and ``end_id``, documents in id order (NULL first, equal ids by text); NULL text is empty."""
     blocks = Blocks(docs.select(id_col, text_col), id_col, text_col, shard_bytes)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from sparkmetrica.llm import anchors, decontam, langid, licences, packing, parsing, quality, simhash, suffixes, wavelet
 from sparkmetrica.llm.common import ORACLES, QUERIES
 from sparkmetrica.llm.queries import LICENCE_SQL  # noqa: F401  (registers all)
+from sparkmetrica.session import shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, word string, block string, n_words string, kept string"
@@ -232,7 +233,7 @@ def test_wavelet_files(spark, docs, rows):
     from sparkmetrica.llm.tokens import token_path
 
     plain = Tokenizer.from_file(token_path())
-    place = wavelet.shared_folder(spark)
+    place = shared_folder(spark)
     wavelet.write_shards(docs, place)
     got = wavelet.read_documents(spark, place).orderBy("start").collect()
     want, at = [], 0
@@ -368,7 +369,7 @@ def test_language_odd_rows(docs, rows):
 def test_empty_tables(spark, nothing):
     bench = spark.createDataFrame([], "item_id long, text string")
     full = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
-    place = wavelet.shared_folder(spark)
+    place = shared_folder(spark)
     wavelet.write_shards(nothing, place)
     frames = [
         anchors.drop_repeats(nothing), suffixes.drop_repeats(nothing), simhash.near_duplicates(nothing), simhash.drop_near_duplicates(nothing), packing.pack(nothing),
