@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkmetrica.llm import anchors, decontam, langid, licences, packing, parsing, quality, simhash, suffixes, wavelet
+from sparkmetrica.llm import anchors, decontam, langid, licences, merkle, oracles, packing, parsing, quality, simhash, suffixes, wavelet
 from sparkmetrica.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from sparkmetrica.session import shared_folder
 
@@ -123,3 +123,14 @@ def op10_licences(spark, folder):
     """Licence of every document as a file at /source/language/number of 500 ids/id.txt, its own or inherited."""
     files = table(spark, folder, "documents").select("doc_id", F.expr(PATH).alias("path"), "text")
     return licences.scan(files, "doc_id", "path", "text").withColumnRenamed("id", "doc_id")
+
+
+@query("op12_merkle", oracles.MERKLE)
+def op12_merkle(spark, folder):
+    """Merkle manifest of the documents by language: every row's leaf, proof and check, some of them against tampered rows."""
+    docs = table(spark, folder, "documents")
+    leaf = lambda n: merkle.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claim = F.when(tampered, leaf(F.col("n_chars") + 1))
+    proved = merkle.build(docs, "doc_id", "lang", leaf(F.col("n_chars")), claim=claim).proofs()
+    return merkle.verify(proved, "claim").select(F.col("doc").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
