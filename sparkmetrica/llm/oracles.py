@@ -41,3 +41,49 @@ proofs AS (SELECT id, sha256(coalesce(string_agg(digest, '' ORDER BY step), ''))
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
 FROM leaves l JOIN ends e ON l.lang IS NOT DISTINCT FROM e.lang JOIN folded USING (id) JOIN proofs USING (id), summit
 """
+
+#: Each repeat of a control string gets one code point more; the strings themselves by role: <s> once, [INST] [/INST], </s>, [SYS] [/SYS].
+CHAT = """
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+sized AS (SELECT *, length(regexp_replace(text, '([<\\[])(\\\\*)(s>|/s>|INST\\]|/INST\\]|SYS\\]|/SYS\\]|ROLE\\]|SAYS\\]|/ROLE\\]|\\|endoftext\\|>)', '\\1\\\\\\2\\3', 'g')) AS chars,
+    CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 4 WHEN 'system' THEN 11 ELSE 19 + length(role) END AS marks FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (3 + sum(chars + marks))::bigint AS formatted_chars FROM sized GROUP BY conv_id
+"""
+
+REPAIR = f"""
+WITH RECURSIVE read AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS t,
+    {crc32("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 AS fate FROM conversations),
+copies AS (SELECT *, unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy FROM read WHERE fate <> 0),
+spoilt AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE r END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, sha256(t), copy) AS i FROM copies),
+coded AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault FROM spoilt),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM coded GROUP BY conv_id),
+heads(state, cost, edits, now, said) AS (VALUES ('', 0, '', '', []::varchar[]), ('', 5, 'I', 'u', ['user:']), ('', 10, 'II', 'a', ['user:', 'assistant:']),
+    ('s', 0, '', 's', []), ('s', 5, 'I', 'u', ['user:']), ('s', 10, 'II', 'a', ['user:', 'assistant:']),
+    ('u', 0, '', 'u', []), ('u', 5, 'I', 'a', ['assistant:']), ('u', 10, 'II', 'u', ['assistant:', 'user:']),
+    ('a', 0, '', 'a', []), ('a', 5, 'I', 'u', ['user:']), ('a', 10, 'II', 'a', ['user:', 'assistant:'])),
+paths AS (SELECT conv_id, 0::bigint AS i, '' AS state, struct_pack(cost := 0, audit := '', said := []::varchar[]) AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL SELECT p.conv_id, any_value(c.i), e.next, min(struct_pack(cost := p.best.cost + h.cost + e.cost + CASE WHEN e.edit <> 'D' AND c.fault = 'truncated' THEN 5 ELSE 0 END,
+        audit := p.best.audit || h.edits || e.edit, said := list_concat(p.best.said, h.said, CASE e.edit WHEN 'D' THEN [] WHEN 'K' THEN [c.role || ':' || c.text] ELSE [e.named || ':' || c.text] END)))
+    FROM paths p JOIN coded c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.i = p.i + 1 JOIN heads h ON h.state = p.state,
+    (VALUES ('D', 2, '', '', '*'), ('K', 0, 's', 's', ''), ('K', 0, 'u', 'u', ''), ('K', 0, 'u', 'u', 's'), ('K', 0, 'u', 'u', 'a'), ('K', 0, 'a', 'a', 'u'),
+        ('R', 1, 'u', 'user', ''), ('R', 1, 'u', 'user', 's'), ('R', 1, 'u', 'user', 'a'), ('R', 1, 'a', 'assistant', 'u')) AS m(edit, cost, next, named, state),
+    LATERAL (SELECT m.edit, m.cost, m.named, CASE WHEN m.edit = 'D' THEN h.now ELSE m.next END AS next) AS e
+    WHERE (m.edit = 'D' OR m.state = h.now AND c.fault NOT IN ('blank', 'duplicate')) AND (m.edit <> 'K' OR c.initial = m.named)
+    GROUP BY p.conv_id, e.next),
+ends AS (SELECT conv_id, min(struct_pack(cost := best.cost + t.cost, audit := best.audit || t.edits, said := list_concat(best.said, t.said))) AS best
+    FROM paths JOIN (VALUES ('', 0, '', []::varchar[]), ('a', 0, '', []), ('u', 5, 'I', ['assistant:']), ('s', 10, 'II', ['user:', 'assistant:'])) AS t(state, cost, edits, said) USING (state)
+    WHERE i = (SELECT count(*) FROM coded c WHERE c.conv_id IS NOT DISTINCT FROM paths.conv_id) GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    best.cost::bigint AS cost, best.audit AS audit, sha256(array_to_string(best.said, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
