@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +28,7 @@ from sparkmetrica.operators.hypothesis import jarque_bera
 from sparkmetrica.operators.moments import (
     Moments, complete_rows, moments, moments_by, pair_sums, within_moments,
 )
+from sparkmetrica.operators.penalty import net_path
 
 TOLERANCE = 1e-10
 CONST = "const"
@@ -503,15 +504,8 @@ def glm(df: DataFrame, y: str, x, family: str, link: str | None = None, weight:
 
 
 def penalized(df: DataFrame, y: str, x, strength: float, mix: float = 0.0, weight: str | None = None) -> DataFrame:
-    """Ridge (``mix`` 0), lasso (1) or elastic net by Spark ML: ``term, coef``."""
-    model = LinearRegression(
-        labelCol="_y", featuresCol="_f", regParam=strength, elasticNetParam=mix, maxIter=500, tol=1e-12
-    )
-    if weight:
-        model = model.setWeightCol("_w")
-    got = _fit_ml(model, df, y, x, weight)
-    rows = [(CONST, float(got.intercept)), *[(c, float(b)) for c, b in zip(x, got.coefficients)]]
-    return df.sparkSession.createDataFrame(rows, "term string, coef double")
+    """Ridge (``mix`` 0), lasso (1) or elastic net on the moment matrix: ``term, coef`` and ``kkt``, the violated part of each coefficient's condition."""
+    return net_path(df, y, x, [strength], mix, weight).select("term", "coef", "kkt")
 
 
 def predict(fit: Fit, df: DataFrame, level: float = 0.95) -> DataFrame:

@@ -6,10 +6,8 @@ Evaluation runs on all of ``lineitem`` with a tied score; models are fitted on
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from sparkmetrica.operators import classify as C
@@ -166,8 +164,8 @@ NUMERIC = ["letter_share", "word_length", "ln_chars", "digit_share"]
 def _featured(spark, folder):
     rows = documents(spark, folder)
     stages = C.feature_stages(NUMERIC, ["lang"]).fit(rows.where("is_train"))
-    # fits are iterative: the small labelled set is kept while a model is trained
-    ready = stages.transform(rows).select("doc_id", "label", "is_train", "features").cache()
+    # fits are iterative: the features are written once and read in every step
+    ready = settle(stages.transform(rows).select("doc_id", "label", "is_train", "features"))
     return ready.where("is_train"), ready.where("NOT is_train")
 
 
@@ -179,26 +177,12 @@ def _evaluated(name, fit):
     query(f"{name}_documents")(run)
 
 
-_evaluated("logit", lambda d: C.fit_logit(C.class_weights(d, "label"), weight="weight", regParam=0.01))
 _evaluated("tree", lambda d: C.fit_tree(d, maxDepth=4))
 _evaluated("forest", lambda d: C.fit_forest(d, numTrees=20))
 _evaluated("boosted_trees", lambda d: C.fit_gbt(d, maxIter=10, maxDepth=3))
 _evaluated("svm", lambda d: C.fit_svm(d, maxIter=50))
 
 
-@query("tune_logit")
-def tune_logit(spark, folder):
-    """Three penalties, three folds that keep copies of a document together."""
-    rows = documents(spark, folder)
-    stages = C.feature_stages(NUMERIC, ["lang"]).fit(rows)
-    ready = stages.transform(rows).select("copy_key", "label", "features").cache()
-    est = LogisticRegression(labelCol="label", featuresCol="features", maxIter=50)
-    grid = ParamGridBuilder().addGrid(est.regParam, [0.001, 0.01, 0.1]).build()
-    model = C.tune(est, grid, ready, "copy_key")
-    got = [(float(list(p.values())[0]), float(v)) for p, v in zip(grid, model.avgMetrics)]
-    return spark.createDataFrame(got, "reg_param double, mean_auc double")
-
-
 @query(
     "baseline_majority",
     """SELECT count(*) AS n, avg(quality) AS positive_rate, (avg(quality) >= 0.5)::int AS majority, greatest(avg(quality), 1 - avg(quality)) AS accuracy FROM labels""",
@@ -316,7 +300,7 @@ def permutation_importance(spark, folder):
     """Loss of AUC on the test documents when a feature is shuffled."""
     rows = documents(spark, folder)
     assembler = VectorAssembler(inputCols=NUMERIC, outputCol="features")
-    train = assembler.transform(rows.where("is_train")).select("label", "features").cache()
+    train = settle(assembler.transform(rows.where("is_train")).select("label", "features"))
     model = C.fit_forest(train, numTrees=20)
 
     class Scorer:

@@ -489,24 +489,18 @@ def _penalty_sql(slope: str) -> str:
 
 @query("ridge", _penalty_sql("r / (1 + 0.05 / sy)"), "coef", 5)
 def ridge(spark, folder):
-    return R.penalized(homes(spark, folder), Y, [X1], 0.05)
+    return R.penalized(homes(spark, folder), Y, [X1], 0.05).select("term", "coef")
 
 
 @query("lasso", _penalty_sql("(r - 0.05 / sy)"), "coef", 5)
 def lasso(spark, folder):
-    return R.penalized(homes(spark, folder), Y, [X1], 0.05, 1.0)
+    return R.penalized(homes(spark, folder), Y, [X1], 0.05, 1.0).select("term", "coef")
 
 
 @query("elastic_net", _penalty_sql("(r - 0.5 * 0.05 / sy) / (1 + 0.5 * 0.05 / sy)"), "coef", 5)
 def elastic_net(spark, folder):
     """One regressor: the soft threshold and the shrinkage have a closed form."""
-    return R.penalized(homes(spark, folder), Y, [X1], 0.05, 0.5)
-
-
-@query("elastic_net_three_terms")
-def elastic_net_three_terms(spark, folder):
-    rows = homes(spark, folder).withColumn("noise", hash_uniform(ROW_KEY, "nothing"))
-    return R.penalized(rows, Y, [X1, X2, "noise"], 0.01, 0.5)
+    return R.penalized(homes(spark, folder), Y, [X1], 0.05, 0.5).select("term", "coef")
 
 
 @query(
