@@ -75,11 +75,11 @@ def sums(rows: DataFrame, models: list[Logit]) -> list[tuple[float, float, np.nd
                 own = w > 0 if model.without is None else (w > 0) & (g != model.without)
                 z, target, weight = model.prepare(x[own]), y[own], w[own]
                 eta = np.clip(z @ model.beta, -700, 700)
-                p = 1 / (1 + np.exp(-eta))
+                p, q = 1 / (1 + np.exp(-eta)), 1 / (1 + np.exp(eta))  # both exact near 0, so that curvature never rounds to 0
                 t[0] += weight.sum()
                 t[1] += weight @ (np.logaddexp(0, eta) - target * eta)
-                t[2 : 3 + width] += z.T @ (weight * (target - p))
-                t[3 + width :] += ((z * (weight * p * (1 - p))[:, None]).T @ z).ravel()
+                t[2 : 3 + width] += z.T @ (weight * (target * q - (1 - target) * p))
+                t[3 + width :] += ((z * (weight * p * q)[:, None]).T @ z).ravel()
         flat = total.ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["i", "v"])
 
@@ -117,9 +117,10 @@ def fit(rows: DataFrame, models: list[Logit], tol: float = 1e-10, most: int = 60
                 continue
             down = slope / weight - ridge(m) * m.beta
             m.slope, m.loss, m.rows = float(np.abs(down).max()), float(loss / weight), int(round(weight))
-            m.converged = m.slope <= tol
+            step = np.linalg.lstsq(curve / weight + np.diag(ridge(m)), down, rcond=None)[0]
+            # Where classes can be parted the slope vanishes as well, but with the curvature: the next step stays long.
+            m.converged = m.slope <= tol and float(np.abs(step).max()) <= 1e-6 * (1 + float(np.abs(m.beta).max()))
             if not m.converged:
-                step = np.linalg.lstsq(curve / weight + np.diag(ridge(m)), down, rcond=None)[0]
                 state[id(m)] = (m.beta, criterion, step)
                 m.beta = m.beta + step
         open_models = [m for m in open_models if not m.converged]
