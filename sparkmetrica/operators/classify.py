@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from sparkmetrica.functions.scalars import hash_uniform, num, ratio
 from sparkmetrica.operators import order as O
-from sparkmetrica.session import settle
+from sparkmetrica.operators.permute import shuffled_columns
+from sparkmetrica.session import discard, settle
 
 
 def split(df: DataFrame, key, share: float = 0.8, seed: str = "split", strata=None, name: str = "is_train") -> DataFrame:
@@ -264,21 +265,27 @@ def lift_table(df: DataFrame, label: str, score: str, key, n: int = 10) -> DataF
     )
 
 
-def importance(model, df: DataFrame, columns, key: str, label: str = "label", seed: str = "shuffle") -> DataFrame:
-    """Loss of AUC when one column is permuted, for each column.
+def importance(model, df: DataFrame, columns, key, label: str = "label", seed: str = "shuffle") -> DataFrame:
+    """Loss of AUC when one column is permuted, for each column: ``feature, auc, auc_permuted, importance``.
 
-    Two orders of the rows by different hashes are joined by position. That is a
-    permutation, it is the same on every run, and no task sees the whole column.
+    ``model`` has ``transform``, or is a column expression of the score. The rows are put in order once, whatever the number of columns;
+    each permutation is computed from a row's place. All scores are ordered in one pass. ``key`` is unique.
     """
-    spark = df.sparkSession
-    base_order = O.positions(df.withColumn("_u", hash_uniform(key, seed)), [F.col("_u"), F.col(key)])
-    base_order = settle(base_order.drop("_u", "pos_total"))
-    before = auc(scores(model, base_order), label, "score").first()["auc"]
-    rows = []
-    for c in columns:
-        donor = df.select(F.col(c).alias("_new"), F.col(key), hash_uniform(key, f"{seed}:{c}").alias("_u"))
-        donor = O.positions(donor, [F.col("_u"), F.col(key)]).select("pos", "_new")
-        mixed = base_order.drop(c).join(donor, "pos").withColumnRenamed("_new", c)
-        after = auc(scores(model, mixed), label, "score").first()["auc"]
-        rows.append((c, before, after, before - after))
-    return spark.createDataFrame(rows, "feature string, auc double, auc_permuted double, importance double")
+    columns = list(columns)
+    rows = settle(shuffled_columns(df, columns, key, seed, keep=df.columns))
+    found = []
+    for i, c in enumerate([None, *columns]):
+        one = rows.select(*[F.col(f"{x}_new" if x == c else x).alias(x) for x in df.columns])
+        one = one.withColumn("score", model) if isinstance(model, Column) else scores(model, one)
+        found.append(one.select(F.lit(i).alias("which"), num(label).alias("y"), "score"))
+    long = O.union_all(found)
+    counts = O.ordered_counts(long.where("y IS NOT NULL"), "score", ["which"], {"pos": (F.col("y") == 1).cast("bigint")})
+    rank = F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)
+    pos, neg = F.sum("pos").cast("double"), F.sum(F.col("n") - F.col("pos"))
+    areas = counts.groupBy("which").agg(ratio(F.sum(rank * F.col("pos")) - pos * (pos + 1) / 2, pos * neg).alias("auc"))
+    got = {r["which"]: r["auc"] for r in areas.collect()}  # one row a column
+    discard(rows)
+    before = got.get(0)
+    lost = lambda after: None if before is None or after is None else before - after
+    table = [(c, before, got.get(i), lost(got.get(i))) for i, c in enumerate(columns, 1)]
+    return df.sparkSession.createDataFrame(table, "feature string, auc double, auc_permuted double, importance double")

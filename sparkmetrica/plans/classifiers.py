@@ -310,3 +310,48 @@ def permutation_importance(spark, folder):
             return model.transform(assembler.transform(df))
 
     return C.importance(Scorer(), rows.where("NOT is_train").select("doc_id", "label", *NUMERIC), NUMERIC, "doc_id")
+
+
+SHUFFLED = ["l_quantity", "l_discount", "l_tax"]
+LINEAR_SQL = "{q} / 50 + 3 * {d} - 2 * {t}"
+
+
+def _pass_sql(x: str, c: str) -> str:
+    """One pass of the four rounds of a permutation's network, as nested queries over ``l`` and ``r``."""
+    rows = f"SELECT *, {x} % a AS l0, {x} // a AS r0 FROM ({{rows}})"
+    h = lambda turn, half: f"('0x' || substr(md5('shuffle:' || {c} || ':{turn}:' || {half}), 1, 8))::bigint"
+    rows = f"SELECT *, (l0 + {h(0, 'r0')}) % a AS l1 FROM ({rows})"
+    rows = f"SELECT *, (r0 + {h(1, 'l1')}) % b AS r1 FROM ({rows})"
+    rows = f"SELECT *, (l1 + {h(2, 'r1')}) % a AS l2 FROM ({rows})"
+    return f"SELECT *, (r1 + {h(3, 'l2')}) % b AS r2 FROM ({rows})"
+
+
+def importance_sql() -> str:
+    key = "l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || (epoch_us(l_shipdate) // 1000000)"
+    walk = lambda rows, x: f"SELECT p, c, n, a, b, r2 * a + l2 AS x FROM ({_pass_sql(x, 'c').format(rows=rows)})"
+    auc = """(sum(rank) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label)))"""
+    return f"""
+    WITH RECURSIVE placed AS (SELECT *, (l_returnflag = 'R')::int::double AS label, row_number() OVER (ORDER BY {sql_uniform(key, 'shuffle')}, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS p,
+      count(*) OVER () AS n FROM lineitem),
+    sized AS (SELECT *, ceil(sqrt(n))::bigint AS a, ceil(n / ceil(sqrt(n)))::bigint AS b FROM placed),
+    start AS (SELECT p, c, n, a, b FROM sized, (SELECT unnest({SHUFFLED}) AS c)),
+    walks AS ({walk('SELECT * FROM start', 'p')} UNION ALL {walk('SELECT * FROM walks WHERE x >= n', 'x')}),
+    new AS (SELECT x AS place, c, CASE c WHEN 'l_quantity' THEN l_quantity WHEN 'l_discount' THEN l_discount ELSE l_tax END AS v FROM walks JOIN sized USING (p) WHERE x < walks.n),
+    scored AS (SELECT '' AS feature, label, {LINEAR_SQL.format(q='l_quantity', d='l_discount', t='l_tax')} AS score FROM placed
+      UNION ALL SELECT c, label, CASE c WHEN 'l_quantity' THEN {LINEAR_SQL.format(q='v', d='l_discount', t='l_tax')} WHEN 'l_discount' THEN {LINEAR_SQL.format(q='l_quantity', d='v', t='l_tax')}
+        ELSE {LINEAR_SQL.format(q='l_quantity', d='l_discount', t='v')} END FROM new JOIN placed ON place = p),
+    ranked AS (SELECT feature, label, rank() OVER (PARTITION BY feature ORDER BY round(score, 6)) + (count(*) OVER (PARTITION BY feature, round(score, 6)) - 1) / 2.0::double AS rank FROM scored),
+    areas AS (SELECT feature, {auc} AS auc FROM ranked GROUP BY feature)
+    SELECT s.feature, o.auc, s.auc AS auc_permuted, o.auc - s.auc AS importance FROM areas s, areas o WHERE o.feature = '' AND s.feature <> ''
+    """
+
+
+@query("permutation_importance_linear", importance_sql(), "auc auc_permuted importance", 9)
+def permutation_importance_linear(spark, folder):
+    """Loss of AUC of a fixed linear score over all of lineitem when one of its columns is permuted."""
+    shipped = F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("shipped")
+    rows = load(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", shipped, (F.col("l_returnflag") == "R").cast("double").alias("label"), *SHUFFLED
+    )
+    score = F.round(F.col("l_quantity") / 50 + 3 * F.col("l_discount") - 2 * F.col("l_tax"), 6)
+    return C.importance(score, rows, SHUFFLED, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "shipped"])
