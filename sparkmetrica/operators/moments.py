@@ -48,7 +48,7 @@ def _columns(columns) -> dict[str, Column]:
 
 
 def complete_rows(df: DataFrame, columns: dict, keep=(), weight=None) -> DataFrame:
-    """The columns as DOUBLE, all NULL where any of them is missing.
+    """The columns as DOUBLE, all NULL where any of them is missing or infinite.
 
     Rows are masked, not filtered: aggregates skip NULL anyway, and a filter on a
     derived column would be pushed down and make Spark compute the column twice.
@@ -58,7 +58,8 @@ def complete_rows(df: DataFrame, columns: dict, keep=(), weight=None) -> DataFra
         got["_w"] = num(weight)
     rows = df.select(*keep, *[c.alias(f"_v{i}") for i, c in enumerate(got.values())])
     names = [f"_v{i}" for i in range(len(got))]
-    ok = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+    # NULL and NaN fail the comparison too: no path below meets a value that it would treat in its own way
+    ok = reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(n)) < F.lit(float("inf")), F.lit(False)) for n in names])
     if weight is not None:
         ok = ok & (F.col(names[-1]) > 0)
     out = {n: F.when(ok, F.col(v)) for n, v in zip(got, names)}

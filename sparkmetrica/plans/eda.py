@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from sparkmetrica.operators import order as O
 from sparkmetrica.operators import tables as X
 from sparkmetrica.plans.registry import query
+from sparkmetrica.session import settle
 from sparkmetrica.sources.tables import coerce, load
 
 TABLES = (
@@ -60,22 +61,51 @@ def profile(spark, folder):
     return X.profile(load(spark, folder, "lineitem"), columns, exact=True)
 
 
+LINEITEM = {"l_orderkey": True, "l_partkey": True, "l_suppkey": True, "l_linenumber": True, "l_quantity": True, "l_extendedprice": True,
+            "l_discount": True, "l_tax": True, "l_returnflag": False, "l_linestatus": False, "l_shipdate": False}
+
+
 @query(
     "profile_approx",
-    " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count({c}) AS "count", count(*) - count({c}) AS missing, {f"avg({c})" if numeric else "NULL::double"} AS mean, true AS near FROM lineitem"""
-        for c, numeric in (("l_orderkey", True), ("l_partkey", True), ("l_quantity", True), ("l_extendedprice", True), ("l_returnflag", False))
-    ),
-    "mean",
+    " UNION ALL ".join(f"SELECT *, true AS near FROM ({_profile_sql('lineitem', c, numeric)})" for c, numeric in LINEITEM.items()),
+    "missing_share mean sd skewness kurtosis",
     digits=4,
 )
 def profile_approx(spark, folder):
-    """The default profile, with distinct counts by sketch; ``near``: within three standard errors (5 % each) of the exact count."""
+    """The default profile of every column beside exact distinct counts; ``near``: the sketch is within three standard errors (5 % each) of them."""
     rows = load(spark, folder, "lineitem")
-    columns = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"]
-    exact = X.profile(rows, columns, exact=True).select("column", F.col("distinct").alias("true"))
+    exact = X.distinct_counts(rows).withColumnRenamed("distinct", "true")
     near = F.abs(F.col("distinct") - F.col("true")) <= F.greatest(F.col("true") * 0.15, F.lit(1))
-    return X.profile(rows, columns).join(exact, "column").select("column", "count", "missing", "mean", near.alias("near"))
+    found = X.profile(rows).join(exact, "column").withColumn("near", near)
+    return found.withColumn("distinct", F.col("true")).drop("true")
+
+
+@query(
+    "distinct_counts",
+    " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS "distinct" FROM lineitem""" for c in LINEITEM),
+)
+def distinct_counts(spark, folder):
+    """Exact distinct values of all columns: bitmaps for dense integers, long form for the rest."""
+    return X.distinct_counts(load(spark, folder, "lineitem"))
+
+
+@query(
+    "quantile_sketches",
+    "SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS min, max(l_extendedprice) AS max, true AS q10, true AS q50, true AS q99 FROM lineitem GROUP BY 1",
+)
+def quantile_sketches(spark, folder):
+    """Sketches by month and flag, written, read back and merged by flag; whether the rank of each quantile is within the stated error."""
+    rows = load(spark, folder, "lineitem")
+    monthly = settle(X.quantile_sketches(rows.withColumn("month", F.date_trunc("month", "l_shipdate")), "l_extendedprice", ["month", "l_returnflag"]))
+    merged = X.sketch_quantiles(X.merge_sketches(monthly, ["l_returnflag"]), (0.1, 0.5, 0.99))
+    probs = {"q10": 0.1, "q50": 0.5, "q99": 0.99}
+    met = rows.select("l_returnflag", "l_extendedprice").join(F.broadcast(merged), "l_returnflag")  # three flags
+    ranks = met.groupBy("l_returnflag").agg(
+        *[F.first(c).alias(c) for c in ("n", "min", "max")],
+        *[f((F.col("l_extendedprice") < F.col(q)).cast("int") if below else (F.col("l_extendedprice") <= F.col(q)).cast("int")).alias(f"{q}_{below}") for q in probs for below in (True, False) for f in (F.avg,)],
+    )
+    near = {q: (F.col(f"{q}_True") <= p + X.kll_error()) & (F.col(f"{q}_False") >= p - X.kll_error()) for q, p in probs.items()}
+    return ranks.select("l_returnflag", "n", "min", "max", *[c.alias(q) for q, c in near.items()])
 
 
 @query(

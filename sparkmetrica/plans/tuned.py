@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkmetrica.functions.scalars import hash_uniform
 from sparkmetrica.operators import classify as C
 from sparkmetrica.operators import newton as N
+from sparkmetrica.operators import subset as S
 from sparkmetrica.operators import tuning as T
 from sparkmetrica.operators.penalty import net_path
 from sparkmetrica.plans.classifiers import NUMERIC, documents
@@ -155,3 +156,29 @@ def logit_documents(spark, folder):
     out = C.auc(found, "y", "score").withColumns({"model": F.lit("logit"), "converged": F.lit(bool(model.converged))})
     discard(ready)
     return out
+
+
+def subset_sql(source: str, y: str, x: list) -> str:
+    """All eight models of three regressors, from correlations."""
+    one, two, three = x
+    pair = lambda i, j: f"(c{i} ** 2 + c{j} ** 2 - 2 * c{i} * c{j} * r{i}{j}) / (1 - r{i}{j} ** 2)"
+    det = "(1 + 2 * r12 * r13 * r23 - r12 ** 2 - r13 ** 2 - r23 ** 2)"
+    full = f"""(c1 ** 2 * (1 - r23 ** 2) + c2 ** 2 * (1 - r13 ** 2) + c3 ** 2 * (1 - r12 ** 2)
+      - 2 * c1 * c2 * (r12 - r13 * r23) - 2 * c1 * c3 * (r13 - r12 * r23) - 2 * c2 * c3 * (r23 - r12 * r13)) / {det}"""
+    models = [(0, "", "0"), (1, one, "c1 ** 2"), (1, two, "c2 ** 2"), (1, three, "c3 ** 2"), (2, f"{one},{two}", pair(1, 2)),
+              (2, f"{one},{three}", pair(1, 3)), (2, f"{two},{three}", pair(2, 3)), (3, f"{one},{two},{three}", full)]
+    return f"""
+    WITH q AS (SELECT count(*) AS n, var_pop({y}) AS v, corr({y}, {one}) AS c1, corr({y}, {two}) AS c2, corr({y}, {three}) AS c3,
+      corr({one}, {two}) AS r12, corr({one}, {three}) AS r13, corr({two}, {three}) AS r23 FROM ({source})),
+    m AS ({' UNION ALL '.join(f"SELECT {k}::int AS size, '{t}' AS terms, n, v, ({r2})::double AS r2 FROM q" for k, t, r2 in models)}),
+    b AS (SELECT size, arg_max(terms, r2) AS terms, any_value(n) AS n, any_value(v) AS v, max(r2) AS r2 FROM m GROUP BY size),
+    c AS (SELECT *, ln(2 * pi() * v * (1 - r2)) + 1 + ln(n) / n * (size + 1) AS bic_per_row FROM b)
+    SELECT size, terms, n, r2, bic_per_row, bic_per_row = min(bic_per_row) OVER () AS best FROM c
+    """
+
+
+@query("best_subset", subset_sql(NOISY_SQL, Y, [X1, X2, "noise"]), "r2 bic_per_row", 8)
+def best_subset(spark, folder):
+    """The best model of each size among two factors and a column without effect."""
+    found = S.best_subset(noisy(spark, folder), Y, [X1, X2, "noise"])
+    return found.select("size", "terms", "n", "r2", (F.col("bic") / F.col("n")).alias("bic_per_row"), "best")
