@@ -152,3 +152,64 @@ def digitize(df: DataFrame, column: str, edges, name: str = "bin") -> DataFrame:
     value = num(column)
     steps = [F.when(value >= F.lit(float(e)), 1).otherwise(0) for e in edges]
     return df.withColumn(name, F.when(value.isNotNull(), reduce(lambda a, b: a + b, steps)))
+
+
+CENTRE_BYTES = 32 << 20
+
+
+def nearest_of(df: DataFrame, key: str, column: str, centres: DataFrame, label: str, vector: str, other: bool = False, block_bytes: int = CENTRE_BYTES) -> DataFrame:
+    """``key, nearest, distance``: the label of the nearest of many centres for every row, ties to the smaller label.
+
+    Centres are a table. They are sent to the tasks in blocks of at most ``block_bytes``, one after the other, and each task
+    carries its rows' best so far, so neither the plan nor a task's memory grows with their number. Inside a block distances come from one matrix
+    product, ``|x|^2 - 2 x'c + |c|^2``; those within its rounding of the least are taken again from the differences.
+    With ``other`` a row's own key is no centre for it. Rows and centres with a missing element have no part; without centres the answer is NULL.
+    """
+    spark = df.sparkSession
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(F.col(c), lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
+    points = centres.where(whole(vector) & F.col(label).isNotNull()).select(F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("c"))
+    facts = points.agg(F.count(F.lit(1)), F.max(F.size("c")), F.min(F.size("c"))).first()
+    if facts[1] != facts[2]:
+        raise ValueError("centres of unequal length")
+    rows = df.where(whole(column)).select(F.col(key).alias("key"), F.col(column).cast("array<double>").alias("x"), F.lit(None).cast("long").alias("nearest"), F.lit(None).cast("double").alias("distance"))
+    kind = df.schema[key].dataType.simpleString()
+    parts = -(-facts[0] * 8 * (facts[1] or 0) // block_bytes)
+    numbered = points.withColumn("part", F.pmod(F.xxhash64("label", "c"), F.lit(max(parts, 1))))
+    for part in range(parts):
+        # about block_bytes: a hash deals the centres evenly
+        block = numbered.where(F.col("part") == part).select("label", "c").toArrow().sort_by("label")
+        sent = spark.sparkContext.broadcast((block.column("label").to_numpy(), block.column("c").combine_chunks().flatten().to_numpy().reshape(block.num_rows, -1)))
+        rows = rows.mapInArrow(_nearer(sent, other), f"key {kind}, x array<double>, nearest long, distance double")
+    return rows.select(F.col("key").alias(key), "nearest", F.sqrt("distance").alias("distance"))
+
+
+def _nearer(sent, other: bool):
+    """Carries the best centre of each row through one block of centres; distances are squared."""
+
+    def run(batches):
+        labels, c = sent.value
+        square = (c * c).sum(axis=1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                n = part.num_rows
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False)
+                if len(x) != n * c.shape[1]:
+                    raise ValueError("rows and centres of unequal length")
+                x = x.reshape(n, -1)
+                keys = part.column("key").to_pylist()
+                name = part.column("nearest").to_pylist()
+                best = np.array([np.inf if v is None else v for v in part.column("distance").to_pylist()])
+                size = (x * x).sum(axis=1)
+                rough = size[:, None] - 2 * (x @ c.T) + square
+                if other:
+                    rough[np.array(keys)[:, None] == labels] = np.inf
+                edge = np.minimum(rough.min(axis=1, initial=np.inf), best) + 1e-9 * (size + square.max(initial=0.0) + 1)
+                for i, j in zip(*np.nonzero(rough <= edge[:, None]), strict=True):
+                    far = float(((x[i] - c[j]) ** 2).sum())
+                    if far < best[i] or far == best[i] and (name[i] is None or labels[j] < name[i]):
+                        best[i], name[i] = far, int(labels[j])
+                near = pa.array([None if v is None else d for v, d in zip(name, best.tolist(), strict=True)], pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("x"), pa.array(name, pa.int64()), near], ["key", "x", "nearest", "distance"])
+
+    return run

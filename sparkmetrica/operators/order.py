@@ -97,22 +97,23 @@ def ordered_counts(
     return out.select(*by, "value", *shaped)
 
 
-def join_back(rows: DataFrame, stats: DataFrame, keys, size: str) -> DataFrame:
+def join_back(rows: DataFrame, stats: DataFrame, keys, size: str, total: int | None = None) -> DataFrame:
     """Adds the columns of ``stats`` (one row per key, NULL keys included) to ``rows``.
 
-    ``size`` is the column of ``stats`` with the number of rows behind a key. A key is
+    With ``total``, the sum of ``size``, ``stats`` is taken as written already. ``size`` is the column of ``stats`` with the number of rows behind a key. A key is
     hot if it has more rows than an average task of the join would get, so there are
     fewer hot keys than shuffle partitions. Their rows stay where they are and
     meet a broadcast of these keys; all others are joined by key, broadcast or
     shuffled as Spark finds it fit. Equal rows need no spreading that way.
     """
     keys = list(keys)
-    stats = settle(stats)
+    if total is None:
+        stats = settle(stats)
+        total = stats.agg(F.sum(size)).first()[0] or 0
     extra = [c for c in stats.columns if c not in keys]
     packed = stats.select(_key(keys).alias("_k"), F.struct(*extra).alias("_s"))
     keyed = rows.withColumn("_k", _key(keys))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = stats.agg(F.sum(size)).first()[0] or 0
     is_hot = F.coalesce(F.col(f"_s.{size}") * tasks > F.lit(total), F.lit(False))
     hot = F.broadcast(packed.where(is_hot))
     cold = packed.where(~is_hot)
@@ -145,13 +146,18 @@ def avg_rank(df: DataFrame, column: str, by=(), name: str = "rank") -> DataFrame
 def all_ranks(df: DataFrame, columns) -> DataFrame:
     """Every column replaced by its mid-ranks.
 
-    All rank tables are made from ``df`` itself before the first join, so no join
-    is computed again for the next column.
+    Values of all columns are counted and ordered together, as (column, value) pairs: one range exchange and one table of ranks,
+    whatever the number of columns. Each column then meets its part of that table.
     """
-    tables = {c: rank_table(df, c, name=f"_rank_{c}") for c in columns}
-    for c, ranks in tables.items():
-        df = add_rank(df, ranks, c)
-    return df.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
+    columns = list(columns)
+    entries = [F.struct(F.lit(i).alias("_i"), num(c).alias("_value")) for i, c in enumerate(columns)]
+    ranks = settle(rank_table(df.select(F.inline(F.array(*entries))), "_value", ["_i"]))
+    totals = {r[0]: r[1] for r in ranks.groupBy("_i").agg(F.sum("_n")).collect()}  # one row a column
+    out = df.select(*[num(c).alias(f"_v{i}") for i, c in enumerate(columns)])
+    for i, c in enumerate(columns):
+        own = ranks.where(F.col("_i") == i).select(F.col("_value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"), F.col("_n").alias(f"_n{i}"))
+        out = join_back(out, own, [f"_v{i}"], f"_n{i}", totals.get(i, 0)).drop(f"_n{i}")
+    return out.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def quantile_name(p: float) -> str:

@@ -221,3 +221,19 @@ def uniform(spark, folder):
     return load(spark, folder, "orders").groupBy("o_orderstatus").agg(
         F.count("*").alias("n"), F.avg(u).alias("mean_u"), F.min(u).alias("min_u"), F.max(u).alias("max_u")
     )
+
+
+@query(
+    "nearest_other",
+    """
+    WITH d AS (SELECT a.vec_id, b.vec_id AS nearest, sqrt(list_sum(list_transform(list_zip(a.embedding::double[], b.embedding::double[]), lambda p: (p[1] - p[2]) ** 2))) AS distance
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+    m AS (SELECT vec_id, min(distance) AS distance FROM d GROUP BY vec_id)
+    SELECT vec_id, min(nearest) AS nearest, any_value(m.distance) AS distance FROM d JOIN m USING (vec_id) WHERE d.distance <= m.distance GROUP BY vec_id
+    """,
+    "distance",
+)
+def nearest_other(spark, folder):
+    """Every embedding against all others as centres."""
+    rows = load(spark, folder, "embeddings")
+    return A.nearest_of(rows, "vec_id", "embedding", rows, "vec_id", "embedding", other=True)
