@@ -16,24 +16,35 @@ from sparkmetrica.functions.scalars import col
 from sparkmetrica.operators.tables import dedupe
 
 NAMES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
-REFERENCE = r"^(?:#(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}))|([a-zA-Z][a-zA-Z0-9]*));"
+USUAL = ["amp", "nbsp", "quot", "lt", "gt", "apos"]  # asked for first: a map of all names is searched in order
 
 
 def decode_references(text: Column) -> Column:
     """Named and numeric character references as their characters, each decoded once; unknown ones stay as they are."""
     named = F.create_map(*[F.lit(x) for item in NAMES.items() for x in item])
 
-    def decoded(piece: Column) -> Column:
-        part = lambda i: F.regexp_extract(piece, REFERENCE, i)
-        code = F.coalesce(F.conv(F.nullif(part(1), F.lit("")), 16, 10), F.nullif(part(2), F.lit(""))).try_cast("int")
+    def numbered(name: Column) -> Column:
+        hexadecimal, decimal = F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]{1,6})$", 1), F.regexp_extract(name, r"^#([0-9]{1,7})$", 1)
+        code = F.coalesce(F.conv(F.nullif(hexadecimal, F.lit("")), 16, 10), F.nullif(decimal, F.lit(""))).try_cast("int")
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"))
-        char = F.coalesce(char, F.try_element_at(named, part(3)))
-        return F.coalesce(F.concat(char, F.regexp_replace(piece, REFERENCE, "")), F.concat(F.lit("&"), piece))
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"))
+
+    def usual(name: Column) -> Column:
+        found = reduce(lambda c, n: c.when(name == n, F.lit(NAMES[n])), USUAL[1:], F.when(name == USUAL[0], F.lit(NAMES[USUAL[0]])))
+        return found.otherwise(F.try_element_at(named, name))
+
+    def decoded(piece: Column) -> Column:
+        # up to the first semicolon; patterns are only tried on numbers
+        name = F.substring_index(piece, ";", 1)
+        char = F.when(F.contains(piece, F.lit(";")), F.when(name.startswith("#"), numbered(name)).otherwise(usual(name)))
+        return F.coalesce(F.concat(char, F.substr(piece, F.length(name) + 2)), F.concat(F.lit("&"), piece))
+
+    def whole(t: Column) -> Column:
+        pieces = F.split(t, "&")
+        later = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
+        return F.when(F.contains(t, F.lit("&")), F.concat(pieces[0], F.array_join(later, ""))).otherwise(t)
 
-    pieces = F.split(text, "&")
-    later = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
-    return F.when(text.contains("&"), F.concat(pieces[0], F.array_join(later, ""))).otherwise(text)
+    return F.transform(F.array(text), whole)[0]  # bound once: the text is itself the result of several patterns
 
 
 def strip_tags(html: str | Column) -> Column:
