@@ -80,14 +80,16 @@ def _ordinal(df: DataFrame, c: str) -> Column | None:
     return F.unix_date(F.col(c)).cast("bigint") if isinstance(kind, T.DateType) else None
 
 
-def _identity(df: DataFrame, c: str) -> Column:
-    """A string that is equal for equal values only."""
+def _identity(df: DataFrame, c: str) -> dict:
+    """A value under ``number``, ``whole`` or ``text`` that is equal for equal values only; numbers are not spelt out."""
     kind = df.schema[c].dataType
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return (F.col(c) + F.lit(0.0)).cast("string")  # the two zeros are one
+        return {"number": F.col(c).cast("double")}  # grouping takes the two zeros for one
+    if (ordinal := _ordinal(df, c)) is not None:
+        return {"whole": ordinal}
     if isinstance(kind, T.BinaryType):
-        return F.hex(c)
-    return F.to_json(F.struct(c)) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else F.col(c).cast("string")
+        return {"text": F.hex(c)}
+    return {"text": F.to_json(F.struct(c)) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else F.col(c).cast("string")}
 
 
 def distinct_counts(df: DataFrame, columns=None, about: dict | None = None) -> DataFrame:
@@ -117,9 +119,14 @@ def distinct_counts(df: DataFrame, columns=None, about: dict | None = None) -> D
         parts.append(bits.groupBy("i").agg(F.sum(F.bitmap_count("bits")).alias("distinct")))
     rest = [c for c in columns if c not in dense]
     if rest:
-        entries = [F.struct(F.lit(columns.index(c)).alias("i"), _identity(df, c).alias("value")) for c in rest]
-        values = df.select(F.inline(F.array(*entries))).where("value IS NOT NULL").groupBy("i", "value").agg(F.lit(1))
-        parts.append(values.groupBy("i").agg(F.count("value").alias("distinct")))
+        kinds = {"number": "double", "whole": "bigint", "text": "string"}
+        entries = [
+            F.struct(F.lit(columns.index(c)).alias("i"), F.col(c).isNotNull().alias("there"), *[own.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()])
+            for c in rest
+            for own in [_identity(df, c)]
+        ]
+        values = df.select(F.inline(F.array(*entries))).where("there").groupBy("i", *kinds).agg(F.lit(1))
+        parts.append(values.groupBy("i").agg(F.count("i").alias("distinct")))
     found = {r["i"]: r["distinct"] for r in O.union_all(parts).collect()}  # a row for each column
     return df.sparkSession.createDataFrame([(c, found.get(i, 0)) for i, c in enumerate(columns)], "column string, distinct bigint")
 
