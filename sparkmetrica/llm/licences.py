@@ -1,10 +1,11 @@
 """Licence scan of files: TF-IDF cosine to licence templates, and inheritance from the nearest directory above.
 
-DataFrame functions only. Every line and every paragraph of a file (a text without a blank line is one paragraph) is a sparse TF-IDF vector over its
-words; document frequencies are counted over all files. A file's own licence is that of the template nearest to any of its lines
-or paragraphs, if the cosine reaches the threshold. A licence file is one whose whole text is that near to a
-template, or whose name says so. A file without a licence of its own inherits that of the licence file in its
-directory or the nearest directory above.
+DataFrame functions only. Every line, sentence and paragraph of a file (a text without a blank line is one paragraph) is a sparse TF-IDF vector over its
+words; document frequencies of all words are counted over all files. A file's own licence is that of the template nearest to any of these units, if the
+cosine reaches the threshold. Related licences share most of their words, so a template counts only where the words that tell its licence apart
+(version, clauses, "lesser", "nc") are in the unit as in the template, and none that would make it another licence. A licence file is one whose whole text
+is that near to a template, or whose name says so. A file without a licence of its own inherits that of the licence file in its
+directory or the nearest directory above. The opening paragraph that licences of two and three clauses have in common is taken for that of three.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkmetrica.session import settle
+
 THRESHOLD = 0.6
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 
@@ -35,15 +38,58 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
 ]
 
+# Words that tell a licence from its relatives (needed where the template has them), and words it can't have.
+TELLING = {
+    "AGPL-3.0": ("affero agpl 3", "lesser lgpl"),
+    "Apache-2.0": ("apache 2", ""),
+    "BSD-2-Clause": ("bsd 2", ""),
+    "BSD-3-Clause": ("bsd 3", ""),
+    "CC-BY-4.0": ("cc by attribution 4", "nc noncommercial sa sharealike nd noderivatives"),
+    "CC-BY-NC-4.0": ("cc by nc noncommercial 4", "sa sharealike nd noderivatives"),
+    "GPL-2.0": ("gpl general 2", "lesser library affero lgpl agpl"),
+    "GPL-3.0": ("gpl general 3", "lesser library affero lgpl agpl"),
+    "ISC": ("isc", ""),
+    "LGPL-2.1": ("lgpl lesser 2 1", "affero agpl"),
+    "LGPL-3.0": ("lgpl lesser 3", "affero agpl"),
+    "MIT": ("mit", ""),
+    "MPL-2.0": ("mozilla mpl 2", ""),
+}
+SALTS = 16  # parts of a word that many units hold, when its frequency is looked up
+
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def template_words() -> list[Counter]:
-    return [Counter(re.findall(r"[a-z0-9]+", t.lower())) for _, t in TEMPLATES]
+def template_words(templates=TEMPLATES) -> list[Counter]:
+    return [Counter(re.findall(r"[a-z0-9]+", t.lower())) for _, t in templates]
+
+
+def rules(templates=TEMPLATES, telling=TELLING) -> list[tuple[list[str], list[str]]]:
+    """Words a unit must have and must not have, for each template."""
+    out = []
+    for (name, _), words in zip(templates, template_words(templates), strict=True):
+        needs, bars = (v.split() for v in telling.get(name, ("", "")))
+        out.append(([w for w in needs if w in words], bars))
+    return out
 
 
 def words_that_matter(vectors: list[dict[str, float]], idf: dict[str, float], threshold: float) -> list[str]:
@@ -60,20 +106,24 @@ def words_that_matter(vectors: list[dict[str, float]], idf: dict[str, float], th
     return sorted(set(idf) - common)
 
 
-def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(
+    files: DataFrame, id_col: str = "id", path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES, telling=TELLING
+) -> DataFrame:
     """``(id, path, licence, similarity, inherited, licence_dir)`` for every row of ``files``.
 
     ``licence`` is NULL where there is none; ``similarity`` is the cosine of the file's own notice, rounded to 9 places, NULL if inherited.
     NULL and empty texts have no notice; a NULL path has no directory and inherits nothing. Of two licence files in a directory the nearer to its template
-    counts, then the one with the smaller path. Repeated rows get equal answers. Paths use ``/``.
+    counts, then the one with the smaller path. Repeated rows get equal answers. Paths use ``/``. ``templates`` are pairs of licence and notice, any
+    number per licence, full texts too; ``telling`` gives per licence the words it needs and the words it can't have.
     """
-    counts = template_words()
+    counts = template_words(templates)
     vocabulary = sorted(set().union(*counts))
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     lit = lambda words: F.array(*[F.lit(w) for w in words]).cast("array<string>")
-    # Document frequencies of the templates' words over all files; "" counts the files.
-    present = F.array_union(F.array_intersect(tokens(F.col("text")), lit(vocabulary)), F.array(F.lit("")))
-    seen = {r[0]: r[1] for r in rows.where("text IS NOT NULL").select(F.explode(present).alias("word")).groupBy("word").count().collect()}
+    # Document frequencies of all words over all files; "" counts the files.
+    present = F.array_union(F.array(F.lit("")), tokens(F.col("text")))
+    held = settle(rows.where("text IS NOT NULL").select(F.explode(present).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("files")))
+    seen = {r[0]: r[1] for r in held.where(F.col("word").isin(["", *vocabulary])).collect()}  # as many as the templates have words
     total = seen.get("", 0)
     idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) for w in vocabulary}
     vectors = []
@@ -85,14 +135,29 @@ def scan(files: DataFrame, id_col: str = "id", path_col: str = "path", text_col:
 
     near = rows.where(F.arrays_overlap(tokens(F.col("text")), needed)).select(F.xxhash64("id", "path", "text").alias("row"), "path", "text")
     split = lambda kind, cut: near.select("row", "path", F.lit(kind).alias("kind"), F.posexplode(F.split("text", cut)).alias("unit", "part"), F.size(F.split("text", cut)).alias("parts"))
-    units = split("line", r"\n").union(split("paragraph", r"\n\s*\n")).where(F.arrays_overlap(tokens(F.col("part")), needed))
+    units = split("line", r"\n").union(split("sentence", r"[.;]\s+")).union(split("paragraph", r"\n\s*\n")).where(F.arrays_overlap(tokens(F.col("part")), needed))
     word_counts = units.select("row", "path", "kind", "unit", "parts", F.explode(tokens(F.col("part"))).alias("word")).groupBy("row", "path", "kind", "unit", "parts", "word").count()
-    known = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, idf[w])])
-    weight = F.col("count") * F.coalesce(known[F.col("word")], F.lit(math.log(total + 1)))
-    on = [F.create_map(*[F.lit(x) for w in sorted(v) for x in (w, v[w])]) for v in vectors]
-    dots = [F.sum(F.col("weight") * F.coalesce(m[F.col("word")], F.lit(0.0))).alias(f"t{i}") for i, m in enumerate(on)]
-    scored = word_counts.withColumn("weight", weight).groupBy("row", "path", "kind", "unit", "parts").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"), *dots)
-    best = F.array_max(F.array(*[F.struct(F.round(F.try_divide(F.col(f"t{i}"), F.col("length")), 9).alias("similarity"), F.lit(name).alias("licence")) for i, (name, _) in enumerate(TEMPLATES)]))
+    # Words that many units hold are looked up in parts, so that none gathers in one task.
+    spread = held.select("word", F.log(F.lit(float(total + 1)) / (F.col("files") + 1)).alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    weighed = word_counts.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(spread, ["word", "salt"])
+    on = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.array(*[F.lit(v.get(w, 0.0)) for v in vectors]))])
+    weight = F.col("count") * F.col("idf")
+    ruled = rules(templates, telling)
+    told = sorted({w for r in ruled for words in r for w in words})
+    weighed = weighed.select("row", "path", "kind", "unit", "parts", "word", weight.alias("weight"), on[F.col("word")].alias("on"))
+    dots = [F.sum(F.col("weight") * F.coalesce(F.get("on", F.lit(i)), F.lit(0.0))).alias(f"t{i}") for i in range(len(templates))]
+    scored = weighed.groupBy("row", "path", "kind", "unit", "parts").agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"), F.collect_set(F.when(F.col("word").isin(told), F.col("word"))).alias("told"), *dots
+    )
+
+    def likeness(i: int, name: str) -> Column:
+        needs, bars = ruled[i]
+        fits = ~F.arrays_overlap("told", lit(bars)) if bars else F.lit(True)
+        for w in needs:
+            fits = fits & F.array_contains("told", w)
+        return F.when(fits, F.struct(F.round(F.try_divide(F.col(f"t{i}"), F.col("length")), 9).alias("similarity"), F.lit(name).alias("licence")))
+
+    best = F.array_max(F.array(*[likeness(i, name) for i, (name, _) in enumerate(templates)]))
     found = scored.select("row", "path", "kind", "parts", best.alias("best")).where(F.col("best.similarity") >= threshold)
     own = found.groupBy("row", "path").agg(
         F.max("best").alias("best"), F.max(F.when((F.col("kind") == "paragraph") & (F.col("parts") == 1), F.lit(True))).alias("whole")

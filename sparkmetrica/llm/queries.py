@@ -100,14 +100,16 @@ wanted AS (SELECT t, licence, w, count(*) AS n FROM (SELECT t, licence, unnest(r
 files AS (SELECT doc_id, {path} AS path, regexp_replace({path}, '/?[^/]*$', '') AS dir, text FROM documents),
 have AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM files WHERE text IS NOT NULL),
 total AS (SELECT count(text) AS n FROM files),
-idf AS (SELECT w, ln((any_value(total.n) + 1) / (count(have.doc_id) + 1)::double) AS idf FROM (SELECT DISTINCT w FROM wanted) LEFT JOIN have USING (w), total GROUP BY w),
+idf AS (SELECT w, ln((any_value(total.n) + 1) / (count(have.doc_id) + 1)::double) AS idf FROM (SELECT w FROM wanted UNION SELECT w FROM have) LEFT JOIN have USING (w), total GROUP BY w),
 vectors AS (SELECT t, licence, w, n * idf AS x, sqrt(sum((n * idf) ** 2) OVER (PARTITION BY t)) AS l FROM wanted JOIN idf USING (w)),
 parts AS (SELECT doc_id, 'line' AS kind, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS unit, 0 AS parts FROM files
+    UNION ALL SELECT doc_id, 'sentence', unnest(string_split_regex(text, '[.;]\\s+')), generate_subscripts(string_split_regex(text, '[.;]\\s+'), 1), 0 FROM files
     UNION ALL SELECT doc_id, 'paragraph', unnest(string_split_regex(text, '\\n\\s*\\n')), generate_subscripts(string_split_regex(text, '\\n\\s*\\n'), 1), len(string_split_regex(text, '\\n\\s*\\n')) FROM files),
 counted AS (SELECT doc_id, kind, unit, parts, w, count(*) AS n FROM (SELECT doc_id, kind, unit, parts, unnest(string_split_regex(lower(part), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM parts) WHERE w <> '' GROUP BY ALL),
-weighed AS (SELECT counted.*, counted.n * coalesce(idf, ln(total.n + 1)) AS x FROM total, counted LEFT JOIN idf USING (w)),
-lengths AS (SELECT doc_id, kind, unit, parts, sqrt(sum(x * x)) AS l FROM weighed GROUP BY ALL),
-scored AS (SELECT doc_id, kind, parts, licence, round(sum(weighed.x * v.x / v.l) / any_value(lengths.l), 9) AS similarity FROM weighed JOIN vectors v USING (w) JOIN lengths USING (doc_id, kind, unit, parts) GROUP BY doc_id, kind, unit, parts, t, licence),
+weighed AS (SELECT counted.*, counted.n * idf AS x FROM counted JOIN idf USING (w)),
+lengths AS (SELECT doc_id, kind, unit, parts, sqrt(sum(x * x)) AS l, list(w) AS has FROM weighed GROUP BY ALL),
+rules AS (SELECT * FROM (VALUES {rules}) AS v(t, needs, bars)),
+scored AS (SELECT doc_id, kind, parts, licence, round(sum(weighed.x * v.x / v.l) / any_value(lengths.l), 9) AS similarity FROM weighed JOIN vectors v USING (w) JOIN lengths USING (doc_id, kind, unit, parts) JOIN rules USING (t) WHERE list_has_all(has, needs) AND NOT list_has_any(has, bars) GROUP BY doc_id, kind, unit, parts, t, licence),
 best AS (SELECT doc_id, max(struct_pack(similarity, licence)) AS best, bool_or(kind = 'paragraph' AND parts = 1) AS whole FROM scored WHERE similarity >= 0.6 GROUP BY doc_id),
 by_dir AS (SELECT dir AS licence_dir, min(struct_pack(a := -best.similarity, path, licence := best.licence)).licence AS from_dir FROM best JOIN files USING (doc_id) WHERE whole GROUP BY dir),
 nearest AS (SELECT dir, arg_max(licence_dir, len(licence_dir)) AS licence_dir, arg_max(from_dir, len(licence_dir)) AS from_dir
@@ -115,7 +117,8 @@ nearest AS (SELECT dir, arg_max(licence_dir, len(licence_dir)) AS licence_dir, a
 SELECT doc_id, path, CASE WHEN best IS NULL THEN from_dir ELSE best.licence END AS licence, best.similarity AS similarity,
     best IS NULL AND from_dir IS NOT NULL AS inherited, CASE WHEN best IS NULL THEN licence_dir END AS licence_dir
 FROM files LEFT JOIN best USING (doc_id) LEFT JOIN nearest USING (dir)
-""".format(path=PATH, values=", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licences.TEMPLATES)))
+""".format(path=PATH, values=", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licences.TEMPLATES)),
+    rules=", ".join(f"({i}, {needs}::text[], {bars}::text[])" for i, (needs, bars) in enumerate(licences.rules())))
 
 
 @query("op10_licences", LICENCE_SQL)

@@ -396,3 +396,30 @@ def test_contract_columns(spark):
     w = re.findall(r"[^\x20\x09-\x0D]+", text.text.lower())
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(len(w) - 2)]
     assert int(row.fingerprint, 16) & 1 == (2 * sum(x & 1 for x in h) > len(h))
+
+
+def test_licences_are_told_from_their_relatives(spark):
+    lesser, affero, two = (next(t for name, t in licences.TEMPLATES if name == want) for want in ("LGPL-3.0", "AGPL-3.0", "GPL-2.0"))
+    cases = {
+        1: ("LGPL-3.0", lesser + ", or (at your option) any later version."), 2: ("GPL-2.0", two + ", or (at your option) any later version."), 3: ("AGPL-3.0", "# " + affero),
+        4: ("BSD-2-Clause", "// SPDX-License-Identifier: BSD-2-Clause"), 5: ("ISC", "SPDX-License-Identifier: ISC"), 6: ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+        7: ("MIT", "Copyright 2020 Acme. Released under the MIT License."), 8: (None, "Licensed under CC BY-NC-SA 4.0"), 9: (None, "the licence of the house is under the stairs"),
+    }
+    rng = np.random.default_rng(5)
+    filler = [(100 + k, f"/f{k}/x.txt", sentence(rng, 30)) for k in range(200)]
+    got = []
+    for times in (1, 20):  # the same rates in a larger table give the same licences
+        more = [(1000 * t + i, f"/t{t}{p}", text) for t in range(times) for i, p, text in filler]
+        files = [(k, f"/own{k}/x.py", text) for k, (_, text) in cases.items()] + more
+        answer = licences.scan(spark.createDataFrame(files, "id long, path string, text string")).where("id < 10")
+        got.append({r.id: r.licence for r in answer.collect()})
+    assert got[0] == {k: name for k, (name, _) in cases.items()} == got[1]
+
+
+def test_licence_templates_of_ones_own(spark):
+    files = spark.createDataFrame([(1, "/a.txt", "House rules version 7 apply here"), (2, "/b.txt", "House rules version 8 apply here"), (3, "/c/d.txt", None)], "id long, path string, text string")
+    own = [("House-7", "House rules version 7 apply here")]
+    got = {r.id: (r.licence, r.inherited) for r in licences.scan(files, templates=own, telling={"House-7": ("house 7", "")}).collect()}
+    assert got == {1: ("House-7", False), 2: ("House-7", True), 3: ("House-7", True)}  # the whole text is a notice, so the directory has it
+    told = licences.scan(files.where("id <> 1"), templates=own, telling={"House-7": ("house 7", "")})
+    assert [r.licence for r in told.collect()] == [None, None]
