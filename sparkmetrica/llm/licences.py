@@ -1,7 +1,8 @@
 """Licence scan of files: TF-IDF cosine to licence templates, and inheritance from the nearest directory above.
 
 DataFrame functions only. Every line, sentence and paragraph of a file (a text without a blank line is one paragraph) is a sparse TF-IDF vector over its
-words; document frequencies of all words are counted over all files. A file's own licence is that of the template nearest to any of these units, if the
+words; its words' document frequencies are counted exactly over all files, for units that can reach the threshold at all: a table
+of a fixed number of word buckets, counted first, bounds every cosine from above. A file's own licence is that of the template nearest to any of these units, if the
 cosine reaches the threshold. Related licences share most of their words, so a template counts only where the words that tell its licence apart
 (version, clauses, "lesser", "nc") are in the unit as in the template, and none that would make it another licence. A licence file is one whose whole text
 is that near to a template, or whose name says so. A file without a licence of its own inherits that of the licence file in its
@@ -13,6 +14,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +75,8 @@ TELLING = {
     "MIT": ("mit", ""),
     "MPL-2.0": ("mozilla mpl 2", ""),
 }
+BUCKETS = 1 << 14  # of words, for bounds on their frequencies
+STEPS = 4  # to which those bounds are rounded down, for each unit of the logarithm
 SALTS = 16  # parts of a word that many units hold, when its frequency is looked up
 
 
@@ -79,6 +84,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def buckets_of(words: Column) -> Column:
+    return F.array_distinct(F.transform(words, bucket))
+
+
+def byte_at(data: Column, place: Column) -> Column:
+    """A byte below 128 of a binary value."""
+    return F.ascii(F.substring(data, place + 1, 1).cast("string"))
+
+
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def template_words(templates=TEMPLATES) -> list[Counter]:
     return [Counter(re.findall(r"[a-z0-9]+", t.lower())) for _, t in templates]
 
@@ -120,10 +143,11 @@ def scan(
     vocabulary = sorted(set().union(*counts))
     rows = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     lit = lambda words: F.array(*[F.lit(w) for w in words]).cast("array<string>")
-    # Document frequencies of all words over all files; "" counts the files.
-    present = F.array_union(F.array(F.lit("")), tokens(F.col("text")))
-    held = settle(rows.where("text IS NOT NULL").select(F.explode(present).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("files")))
-    seen = {r[0]: r[1] for r in held.where(F.col("word").isin(["", *vocabulary])).collect()}  # as many as the templates have words
+    # In how many files each template word occurs, and each bucket of all words; "" counts the files.
+    named = F.filter(F.array_distinct(tokens(F.col("text"))), lambda w: w.isin(vocabulary))
+    keys = F.concat(F.array(F.lit("")), named, F.transform(buckets_of(tokens(F.col("text"))), lambda b: F.concat(F.lit("#"), b.cast("string"))))
+    held = rows.where("text IS NOT NULL").select(F.explode(keys).alias("key")).groupBy("key").count()
+    seen = {r[0]: r[1] for r in held.collect()}  # at most BUCKETS and as many as the templates have words
     total = seen.get("", 0)
     idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) for w in vocabulary}
     vectors = []
@@ -132,18 +156,47 @@ def scan(
         length = math.sqrt(sum(x * x for x in v.values())) or 1.0
         vectors.append({w: x / length for w, x in v.items()})
     needed = lit(words_that_matter(vectors, idf, threshold))
+    ruled = rules(templates, telling)
+    told = sorted({w for r in ruled for words in r for w in words})
+
+    def fits(i: int, words: Column) -> Column:
+        needs, bars = ruled[i]
+        out = ~F.arrays_overlap(words, lit(bars)) if bars else F.lit(True)
+        for w in needs:
+            out = out & F.array_contains(words, w)
+        return out
+
+    # No word of a bucket is in more files than the bucket, which bounds the length of a unit from below and its cosine from above.
+    floors = F.lit(bytearray(min(127, int(STEPS * math.log((total + 1) / (seen.get(f"#{b}", 0) + 1)))) for b in range(BUCKETS)))
+    floor = lambda w: byte_at(floors, bucket(w)) / float(STEPS)
+    parts_of = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.array(*[F.lit(idf[w] * v.get(w, 0.0)) for v in vectors]))])
+
+    def may_reach(words: Column) -> Column:
+        """Whether a unit of these words can be as near as the threshold to a template whose rules it keeps."""
+        zero = F.array(*[F.lit(0.0)] * len(templates))
+        dots = F.aggregate(F.filter(words, lambda w: w.isin(vocabulary)), zero, lambda sums, w: F.zip_with(sums, F.element_at(parts_of, w), lambda x, y: x + y))
+        length = F.sqrt(F.aggregate(words, F.lit(0.0), lambda sums, w: sums + floor(w) * floor(w)))
+        some = lambda d, least, have: reduce(or_, [(F.get(d, F.lit(i)) >= least) & fits(i, have) for i in range(len(templates))])
+        near = bound(dots, lambda d: bound(length * (threshold - 1e-6), lambda least: bound(F.array_intersect(words, lit(told)), lambda have: some(d, least, have))))
+        return F.when(F.arrays_overlap(words, needed), near).otherwise(F.lit(False))
 
     near = rows.where(F.arrays_overlap(tokens(F.col("text")), needed)).select(F.xxhash64("id", "path", "text").alias("row"), "path", "text")
-    split = lambda kind, cut: near.select("row", "path", F.lit(kind).alias("kind"), F.posexplode(F.split("text", cut)).alias("unit", "part"), F.size(F.split("text", cut)).alias("parts"))
-    units = split("line", r"\n").union(split("sentence", r"[.;]\s+")).union(split("paragraph", r"\n\s*\n")).where(F.arrays_overlap(tokens(F.col("part")), needed))
-    word_counts = units.select("row", "path", "kind", "unit", "parts", F.explode(tokens(F.col("part"))).alias("word")).groupBy("row", "path", "kind", "unit", "parts", "word").count()
+    split = lambda kind, cut: bound(F.split("text", cut), lambda found: F.transform(found, lambda part, i: F.struct(F.lit(kind).alias("kind"), i.alias("unit"), part.alias("part"), F.size(found).alias("parts"))))
+    units = near.select("row", "path", F.inline(F.concat(split("line", r"\n"), split("sentence", r"[.;]\s+"), split("paragraph", r"\n\s*\n"))))
+    units = units.where(bound(tokens(F.col("part")), may_reach))
+    word_counts = settle(units.select("row", "path", "kind", "unit", "parts", F.explode(tokens(F.col("part"))).alias("word")).groupBy("row", "path", "kind", "unit", "parts", "word").count())
+    # Exact frequencies of the words of those units, over all files; words of other buckets end where they are read.
+    wanted = word_counts.select("word").distinct()
+    flags = bytearray(BUCKETS)
+    for r in wanted.select(bucket(F.col("word"))).distinct().collect():  # at most BUCKETS
+        flags[r[0]] = 1
+    asked = F.filter(F.array_distinct(tokens(F.col("text"))), lambda w: byte_at(F.lit(flags), bucket(w)) == 1)
+    held = settle(rows.select(F.explode(asked).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("files")).join(wanted, "word", "left_semi"))
     # Words that many units hold are looked up in parts, so that none gathers in one task.
     spread = held.select("word", F.log(F.lit(float(total + 1)) / (F.col("files") + 1)).alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     weighed = word_counts.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(spread, ["word", "salt"])
     on = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.array(*[F.lit(v.get(w, 0.0)) for v in vectors]))])
     weight = F.col("count") * F.col("idf")
-    ruled = rules(templates, telling)
-    told = sorted({w for r in ruled for words in r for w in words})
     weighed = weighed.select("row", "path", "kind", "unit", "parts", "word", weight.alias("weight"), on[F.col("word")].alias("on"))
     dots = [F.sum(F.col("weight") * F.coalesce(F.get("on", F.lit(i)), F.lit(0.0))).alias(f"t{i}") for i in range(len(templates))]
     scored = weighed.groupBy("row", "path", "kind", "unit", "parts").agg(
@@ -151,11 +204,7 @@ def scan(
     )
 
     def likeness(i: int, name: str) -> Column:
-        needs, bars = ruled[i]
-        fits = ~F.arrays_overlap("told", lit(bars)) if bars else F.lit(True)
-        for w in needs:
-            fits = fits & F.array_contains("told", w)
-        return F.when(fits, F.struct(F.round(F.try_divide(F.col(f"t{i}"), F.col("length")), 9).alias("similarity"), F.lit(name).alias("licence")))
+        return F.when(fits(i, F.col("told")), F.struct(F.round(F.try_divide(F.col(f"t{i}"), F.col("length")), 9).alias("similarity"), F.lit(name).alias("licence")))
 
     best = F.array_max(F.array(*[likeness(i, name) for i, (name, _) in enumerate(templates)]))
     found = scored.select("row", "path", "kind", "parts", best.alias("best")).where(F.col("best.similarity") >= threshold)
