@@ -42,14 +42,16 @@ def presence(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     letters = is_letter()
-    seen, any_letter = np.zeros(1 << BITS, bool), False
+    text = text.lower()
+    seen, any_letter, last = np.zeros(1 << BITS, bool), False, np.zeros(0, np.uint32)
     for start in range(0, len(text), CHUNK):
-        part = text[max(0, start - max(ORDERS) + 1) : start + CHUNK].lower()
-        code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
+        code = np.frombuffer(text[start : start + CHUNK].encode("utf-32-le", "surrogatepass"), "<u4")
         alpha = letters[code]
         any_letter = any_letter or bool(alpha.any())
-        code = np.where(alpha, code, 32)
-        code = code[np.r_[True, (code[1:] != 32) | (code[:-1] != 32)]].astype(np.uint64)
+        code = np.concatenate([last, np.where(alpha, code, 32).astype(np.uint32)])
+        code = code[np.r_[True, (code[1:] != 32) | (code[:-1] != 32)]]
+        last = code[1 - max(ORDERS) :]  # n-grams across the cut begin here, spaces already made one
+        code = code.astype(np.uint64)
         for n in ORDERS:
             if len(code) >= n:
                 gram = np.full(len(code) - n + 1, n, np.uint64)
