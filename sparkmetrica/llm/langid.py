@@ -13,15 +13,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmetrica.llm.common import U, hash_fraction, mix
+from sparkmetrica.llm.common import U, mix
+from sparkmetrica.session import settle
 
 BITS = 14
 ORDERS = (1, 2, 3)
 SAMPLE = 2400  # texts learned from, shared out evenly among the languages, at least SAMPLE_LEAST each
 SAMPLE_LEAST = 20
+SLOTS = 1 << 16  # of the hash that picks the sample
 LANDMARKS = 256
 RIDGE = 1e-3
 BATCH = 256
@@ -100,22 +102,32 @@ class Model:
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model | None:
     """Model from ``labelled``; None if no row has a language and a letter.
 
-    Learns from about ``SAMPLE`` rows, picked by a hash of the id with a rate per language, so every language is in.
+    Learns from ``SAMPLE`` rows, an equal number of each language (all of its rows if it has fewer): those with the smallest hashes of id and
+    text. So the bound holds for repeated rows and NULL ids too.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
-    sizes = rows.groupBy("lang").count().collect()
-    if not sizes:
+    drawn = F.xxhash64("id", "text", F.lit(7))
+    rows = rows.select("lang", "text", drawn.alias("drawn"), F.pmod(drawn, F.lit(SLOTS)).alias("slot"))
+    # The slots of the hash that hold each language's first rows, so that texts beyond them stay where they are.
+    counts = settle(rows.groupBy("lang", "slot").count())
+    languages = counts.select("lang").distinct().count()
+    if not languages:
         return None
-    each = max(SAMPLE_LEAST, SAMPLE // len(sizes))
-    rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["count"])))])
-    sample = rows.where(hash_fraction("id") < rate[F.col("lang")])
+    each = max(SAMPLE_LEAST, SAMPLE // languages)
+    before = F.sum("count").over(Window.partitionBy("lang").orderBy("slot")) - F.col("count")
+    upto = counts.withColumn("before", before).where(F.col("before") < each).groupBy("lang").agg(F.max("slot").alias("upto")).collect()  # one row a language
+    few = rows.where(F.col("slot") <= F.create_map(*[F.lit(x) for r in upto for x in r])[F.col("lang")])
 
     def run(batches):
         for batch in batches:
             found = [presence(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([None if p is None else p.tobytes() for p in found], pa.binary())], ["lang", "places"])
+            places = pa.array([None if p is None else p.tobytes() for p in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("drawn"), places], ["lang", "drawn", "places"])
 
-    got = [(r[0], np.frombuffer(r[1], np.uint16)) for r in sample.select("lang", "text").mapInArrow(run, "lang string, places binary").where("places IS NOT NULL").collect()]
+    seen = few.select("lang", "text", "drawn").mapInArrow(run, "lang string, drawn long, places binary").where("places IS NOT NULL")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("drawn", F.lit(SLOTS)), "drawn", "places"))
+    sample = seen.withColumn("turn", turn).where(F.col("turn") <= each)
+    got = [(r[0], np.frombuffer(r[1], np.uint16)) for r in sample.select("lang", "places").collect()]
     if not got:
         return None
     got.sort(key=lambda r: (r[0], r[1].tobytes()))

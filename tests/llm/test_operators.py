@@ -366,6 +366,17 @@ def test_language_odd_rows(docs, rows):
     assert langid.fit(docs.where("lang IS NULL"), "doc_id", "text", "lang") is None
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Each language has its share in the sample, whether its rows are repeated, without id, or few."""
+    same = [(7, "the same words again and again", "en")] * 3000 + [(None, f"des mots {k} et encore {k * k}", "fr") for k in range(900)] + [(9, "nur einmal", "de")]
+    seen = []
+    monkeypatch.setattr(langid, "SAMPLE", 120)
+    monkeypatch.setattr(langid, "Model", lambda labels, places: seen.extend(labels))
+    table = spark.createDataFrame(same, "id long, text string, lang string").repartition(5)
+    langid.fit(table, "id", "text", "lang")
+    assert seen.count("fr") == seen.count("en") == 40 and seen.count("de") == 1
+
+
 def test_empty_tables(spark, nothing):
     bench = spark.createDataFrame([], "item_id long, text string")
     full = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
