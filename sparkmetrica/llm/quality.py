@@ -16,11 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmetrica.llm.common import U, hash_fraction, mix, words
+from sparkmetrica.llm.common import U, mix, words
 from sparkmetrica.session import settle
 
 PLACES = 1 << 12  # hashed features
-TRAIN = 6000  # documents the scorer is trained on, on average
+TRAIN = 6000  # documents the scorer is trained on, at most
 GRAMS = (1, 2, 3)
 CHUNK = 1 << 18  # characters looked at once
 KEEP = 0.5
@@ -205,9 +205,10 @@ class Quality:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Quality:
-    """Label model over the votes on all documents, scorer on a sample of about ``TRAIN`` of them picked by a hash of the id."""
+    """Label model over the votes on all documents, scorer on a sample of ``TRAIN`` of them at most, those of the smallest hashes of id and text."""
     rate = min(1.0, TRAIN / max(1, docs.count()))
-    schema = "code int, place binary, value binary"
+    rate = min(1.0, 1.2 * rate)  # some to spare; the smallest hashes are taken of these
+    schema = "code int, drawn long, place binary, value binary"
 
     def run(batches):
         for batch in batches:
@@ -218,14 +219,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Qual
                 at, value = features(s) if picked else (None, None)
                 places.append(at.tobytes() if picked else None)
                 values.append(value.tobytes() if picked else None)
-            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["code", "place", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), batch.column("drawn"), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["code", "drawn", "place", "value"])
 
-    seen = settle(docs.select(F.col(text_col).alias("text"), (hash_fraction(id_col) < rate).alias("picked")).mapInArrow(run, schema))
+    drawn = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(7)), F.lit(1 << 40))
+    seen = settle(docs.select(F.col(text_col).alias("text"), drawn.alias("drawn"), (drawn < rate * (1 << 40)).alias("picked")).mapInArrow(run, schema))
     counts = sorted((r[0], r[1]) for r in seen.groupBy("code").count().collect())
     codes, n = np.array([c for c, _ in counts], np.int64), np.array([k for _, k in counts], np.float64)
     posterior, accuracies, share = weak_labels(codes, n)
     label = dict(zip(codes.tolist(), posterior.tolist(), strict=True))
-    sample = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in seen.where("place IS NOT NULL").collect())
+    least = seen.where("place IS NOT NULL").orderBy("drawn", "place", "value").limit(TRAIN)
+    sample = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in least.select("code", "place", "value").collect())
     rows = [(np.frombuffer(p, np.uint16), np.frombuffer(v, np.float32)) for _, p, v in sample]
     scorer = Scorer(rows, np.array([label[c] for c, _, _ in sample]))
     return Quality(codes, posterior, accuracies, share, scorer)

@@ -434,3 +434,15 @@ def test_licence_templates_of_ones_own(spark):
     assert got == {1: ("House-7", False), 2: ("House-7", True), 3: ("House-7", True)}  # the whole text is a notice, so the directory has it
     told = licences.scan(files.where("id <> 1"), templates=own, telling={"House-7": ("house 7", "")})
     assert [r.licence for r in told.collect()] == [None, None]
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """NULL ids and repeated rows neither fill the sample nor stay out of it together."""
+    seen = []
+    monkeypatch.setattr(quality, "TRAIN", 100)
+    monkeypatch.setattr(quality, "Scorer", lambda rows, target: seen.append(len(rows)))
+    loose = [(None, f"some words of text number {k} that differ") for k in range(2000)]
+    same = [(3, "one text that all of these rows have in common")] * 2000
+    for rows in (loose, same, loose + same):
+        quality.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert 60 <= seen[0] <= 100 and seen[1] in (0, 100) and seen[2] <= 100
