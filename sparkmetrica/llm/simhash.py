@@ -4,8 +4,9 @@ Two 64-bit fingerprints that differ in at most ``distance`` bits agree on
 ``blocks - distance`` of any ``blocks`` blocks of bits, so every choice of that many
 blocks is one join key (20 keys of about 32 bits for 6 blocks and 3 bits).
 
-The pipeline compares sets of distinct shingles: two sets with a similarity of t or more share one of the first
-``size - ceil(t * size) + 1`` shingles of each in any common order, so these are the join keys.
+The pipeline links documents by SimHash first: fingerprints of their sets of distinct shingles, found by the same blocks, each
+link then checked by the Jaccard similarity of the two sets. An exact search for what fingerprints miss follows: two sets with a similarity of t
+or more share one of the first ``size - ceil(t * size) + 1`` shingles of each in any common order, so these are its join keys.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmetrica.llm.common import U, per_batch, rolling, words
 from sparkmetrica.llm.components import components
-from sparkmetrica.session import settle
+from sparkmetrica.session import discard, settle
 
 SEED = 42
 CHUNK = 1 << 16  # shingles whose bits are counted at once
@@ -32,6 +33,7 @@ WIDTH = 64 * WORDS  # bits of a sketch
 SIMILAR = 0.8  # Jaccard similarity of near copies
 COMMON = 64  # shingles more often than this among the first of the documents come last in their order
 MOST = 1 << 18  # of them at most, the most frequent
+BACK = 3  # earlier keys by which a large bucket tells that a pair meets in another one
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -162,8 +164,8 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILAR) -> DataFrame:
     """``docs`` with one row of every group of similar documents: the one with the smallest id.
 
-    Similar documents have sets of distinct shingles with a Jaccard similarity of ``similarity`` or more; all such pairs are
-    found at every size of ``docs``. A group of rows with NULL ids only keeps the one with the smallest text
+    Similar documents have sets of distinct shingles with a Jaccard similarity of ``similarity`` or more. SimHash finds most of
+    them, an exact search the others; all such pairs are found at every size of ``docs``. A group of rows with NULL ids only keeps the one with the smallest text
     hash; of rows equal in id and text one stays. Texts without a word are one group. All columns are kept.
     """
     found = similar_documents(docs, id_col, text_col, shingle, similarity)
@@ -186,15 +188,38 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(rolling(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)), min(shingle, len(found))))
 
 
-def sketch(names: np.ndarray) -> np.ndarray:
-    """Whether the number of shingles that fall on each of ``WIDTH`` bits is odd, as unsigned words.
+def set_fingerprint(names: np.ndarray) -> int:
+    """SimHash of a set of shingles as an unsigned number: a bit is set if over half of their names have it; 0 of none."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(names), CHUNK):
+        ones += np.unpackbits(names[start : start + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(names), bitorder="little").view(np.uint64)[0])
+
+
+def sketch(names: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """Whether the number of shingles that fall on each of ``width`` bits is odd, as unsigned words.
 
     Two sketches differ in at most as many bits as there are shingles in one set only.
     """
-    odd = np.bincount((names & U(WIDTH - 1)).astype(np.int64), minlength=WIDTH) & 1
+    odd = np.bincount((names & U(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def wide_sketch(names: np.ndarray) -> bytes:
+    """A sketch of two to four bits a shingle, so that it rules pairs of long texts out as well."""
+    return sketch(names, max(64, 1 << (2 * len(names)).bit_length())).tobytes()
+
+
+def wide_apart(x: bytes, y: bytes) -> int:
+    """Bits in which two wide sketches differ; the wider one is folded to the width of the other first."""
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def first_shingles(names: np.ndarray, common: np.ndarray, similarity: float, times: int = 1) -> np.ndarray:
     """So many first shingles of a set, those in ``common`` (sorted) last, that similar sets share one; or ``times`` as many."""
     n = len(names)
@@ -249,12 +274,17 @@ def block_pairs(large: DataFrame) -> DataFrame:
 
 
 def candidates_inside(similarity: float):
-    """Searches one pair of blocks of a bucket for pairs of different components that may be similar."""
-    columns = [f"w{i}" for i in range(WORDS)]
+    """Searches one pair of blocks of a bucket for pairs of different components that may be similar.
+
+    ``p0`` and so on are the last keys of a row's node before this one, in one order of all keys, or this one where there are no more. Two nodes that
+    share one of them meet in that key's bucket too, so only the first bucket that two nodes share has to name them, and few others do.
+    """
+    columns, back_to = [f"w{i}" for i in range(WORDS)], [f"p{i}" for i in range(BACK)]
 
     def search(key, bucket):
         w = np.stack([bucket.column(c).to_numpy() for c in columns], axis=1).view(np.uint64)
         node, size, root, part = (bucket.column(c).to_numpy() for c in ("node", "size", "root", "part"))
+        earlier, this = np.stack([bucket.column(c).to_numpy() for c in back_to], axis=1), key[0].as_py()
         names, back, n = np.unique(root, return_inverse=True, return_counts=True)
         lows, highs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         across = key[1].as_py() != key[2].as_py()
@@ -265,6 +295,7 @@ def candidates_inside(similarity: float):
             other = np.flatnonzero(far & (np.minimum(size, size[x]) >= np.maximum(size, size[x]) * similarity - 1e-9))
             most = (size[other] + size[x]) * ((1 - similarity) / (1 + similarity)) + 1e-9
             other = other[np.bitwise_count(w[other] ^ w[x]).sum(axis=1) <= most]
+            other = other[~np.isin(earlier[other], earlier[x][earlier[x] != this]).any(axis=1)]
             lows.append(np.minimum(node[other], node[x]))
             highs.append(np.maximum(node[other], node[x]))
         pairs = np.unique(np.stack([np.concatenate(lows), np.concatenate(highs)], axis=1), axis=0)
@@ -273,8 +304,16 @@ def candidates_inside(similarity: float):
     return search
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets of shingles have the similarity; ``texts`` has one text for each node."""
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets of shingles have the similarity.
+
+    ``texts(text_hash, text)`` has the text of every ``text_hash`` of ``nodes``. Wide sketches rule pairs out before texts travel.
+    """
+
+    def rough(batch: pa.RecordBatch) -> pa.RecordBatch:
+        most = (batch.column("m").to_numpy() + batch.column("n").to_numpy()) * ((1 - similarity) / (1 + similarity)) + 1e-9
+        near = [wide_apart(x.as_py(), y.as_py()) <= d for x, y, d in zip(batch.column("aw"), batch.column("bw"), most.tolist(), strict=True)]
+        return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         same, last, y = [], None, None
@@ -286,36 +325,66 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
             same.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
         return batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
+    left, right = (nodes.select(F.col("node").alias(c), F.col("size").alias(s), F.col("wide").alias(c + "w")) for c, s in ("am", "bn"))
+    pairs = settle(pairs.join(left, "a").join(right, "b").select("a", "b", "m", "n", "aw", "bw").mapInArrow(per_batch(rough), "a long, b long"))
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    own = settle(texts.join(needed, "node", "left_semi"))
+    needed = settle(nodes.select("node", "text_hash").join(needed, "node", "left_semi"))
+    found = texts.join(needed, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    own = settle(found.join(needed, "text_hash").select("node", "text"))
     left, right = (own.select(F.col("node").alias(c), F.col("text").alias(c + "t")) for c in "ab")
-    return settle(pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(per_batch(run), "a long, b long"))
+    out = settle(pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(per_batch(run), "a long, b long"))
+    discard(pairs, needed, own)
+    return out
+
+
+def simhash_pairs(nodes: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes that connect what SimHash links.
+
+    The nodes of one fingerprint are linked to its smallest node, and these to each other where :func:`links` links their fingerprints.
+    """
+    hubs = settle(nodes.groupBy("fp").agg(F.min("node").alias("hub")))
+    near = links(hubs.select("fp"), distance, blocks)
+    a, b = (hubs.select(F.col("fp").alias(c), F.col("hub").alias(c + "hub")) for c in "ab")
+    across = near.join(a, "a").join(b, "b").select(F.col("ahub").alias("a"), F.col("bhub").alias("b"))
+    return nodes.join(hubs, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).union(across)
 
 
 def similar_roots(nodes: DataFrame, keys: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``(node, root)`` for every node: those that pairs of the similarity connect share a root.
 
-    Every such pair shares one of ``keys(key, node)``. The nodes of a key are compared with its smallest node first, then all pairs
-    that this has not connected. Buckets above ``LARGE`` are compared block against block, which loses no pair.
+    Pairs that SimHash links come first, then all that this has not connected: every pair of the similarity shares one of ``keys(key, node)``.
+    The nodes of a key are compared with its smallest node first, then with each other where they are still apart. Buckets
+    above ``LARGE`` are compared block against block, which loses no pair.
     """
     columns = ["size", *[f"w{i}" for i in range(WORDS)]]
     left, right = (nodes.select(F.col("node").alias(c), *[F.col(x).alias(c + x) for x in columns]) for c in "ab")
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1")
-    shared = settle(keys.join(buckets, "key"))
-    stars = shared.where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    near = simhash_pairs(nodes).join(left, "a").join(right, "b").where(may_be_similar("a", "b", similarity)).select("a", "b")
+    linked = verified(settle(near), nodes, texts, shingle, similarity)
+    roots = settle(components(linked))
+    bucket = Window.partitionBy("key")
+    shared = keys.repartition("key").distinct().withColumns({"n": F.count(F.lit(1)).over(bucket), "low": F.min("node").over(bucket)}).where("n > 1")
+    shared = settle(shared)
+    at, up = (roots.select(F.col("node").alias(c), F.col("root").alias(c + "root")) for c in "ab")
+    stars = shared.where("low <> node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(at, "a", "left").join(up, "b", "left").where("aroot IS NULL OR broot IS NULL OR aroot <> broot").select("a", "b")
     stars = settle(stars.join(left, "a").join(right, "b").where(may_be_similar("a", "b", similarity)).select("a", "b"))
-    roots = components(verified(stars, texts, shingle, similarity))
+    roots = components(linked.union(verified(stars, nodes, texts, shingle, similarity)))
     labelled = settle(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", *columns))
-    full = shared.select("key", "node", "n").join(labelled, "node")
+    order = Window.partitionBy("node").orderBy("key")
+    earlier = {f"p{i}": F.coalesce(F.lag("key", i + 1).over(order), "key") for i in range(BACK)}
+    full = shared.select("key", "node", "n").withColumns(earlier).join(labelled.select("node", "root"), "node")
     unlike = full.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    full = settle(full.join(unlike, "key"))
+    apart = settle(full.join(unlike, "key"))
+    discard(shared)
+    full = apart.drop("root").join(labelled, "node")
     small = full.where(f"n <= {SMALL}")
     a, b = (small.select("key", F.col("node").alias(c), *[F.col(x).alias(c + x) for x in ("root", *columns)]) for c in "ab")
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & may_be_similar("a", "b", similarity)).select("a", "b")
     large = full.where(f"n > {SMALL}")
     more = block_pairs(large).groupBy("key", "i", "j").applyInArrow(candidates_inside(similarity), "a long, b long")
     left_over = settle(pairs.union(more).distinct().join(stars, ["a", "b"], "left_anti"))
-    more = verified(left_over, texts, shingle, similarity)
+    discard(apart, stars)
+    more = verified(left_over, nodes, texts, shingle, similarity)
     a, b = (labelled.select(F.col("node").alias(c), F.col("root").alias(c + "root")) for c in "ab")
     joined = components(more.join(a, "a").join(b, "b").select(F.col("aroot").alias("a"), F.col("broot").alias("b")))
     joined = joined.select(F.col("node").alias("root"), F.col("root").alias("last"))
@@ -326,28 +395,32 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``(doc, text_hash, component)`` for every row: rows linked by similar sets of shingles share the smallest id of their group."""
     columns = [f"w{i}" for i in range(WORDS)]
 
+    def named(sets: list[np.ndarray]) -> np.ndarray:
+        return np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+
     def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t.as_py(), shingle) for t in batch.column("text")]
         w = np.array([sketch(x) for x in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
-        node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
         size = np.array([len(x) for x in sets], np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text_hash"), pa.array(node), pa.array(size), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(WORDS))], ["doc", "text_hash", "node", "size", *columns])
+        fp = np.array([set_fingerprint(x) for x in sets], np.uint64).view(np.int64)
+        own = [pa.array(named(sets)), pa.array(size), pa.array(fp), pa.array([wide_sketch(x) for x in sets], pa.binary()), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(WORDS))]
+        return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text_hash"), *own], ["doc", "text_hash", "node", "size", "fp", "wide", *columns])
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t.as_py(), shingle) for t in batch.column("text")]
-        node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-        first = [first_shingles(x, common, similarity) for x in sets]
+        node, at = np.unique(named(sets), return_index=True)  # copies have the same keys
+        first = [first_shingles(sets[i], common, similarity) for i in at]
         key = np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(node, [len(x) for x in first]))], ["key", "node"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     only = rows.select("text")
     common = common_shingles(only, shingle, similarity)
-    found = settle(rows.mapInArrow(per_batch(sketched), "doc long, text_hash long, node long, size long, " + ", ".join(f"{c} long" for c in columns)))
-    nodes = settle(found.groupBy("node", "size", *columns).agg(F.min("doc").alias("first"), F.min("text_hash").alias("text_hash")))
-    keys = settle(only.mapInArrow(per_batch(keyed), "key long, node long").distinct())
-    texts = rows.groupBy("text_hash").agg(F.first("text").alias("text")).join(nodes.select("node", "text_hash"), "text_hash").select("node", "text")
-    roots = similar_roots(nodes.drop("first", "text_hash"), keys, texts, shingle, similarity)
+    shape = "doc long, text_hash long, node long, size long, fp long, wide binary, " + ", ".join(f"{c} long" for c in columns)
+    found = settle(rows.mapInArrow(per_batch(sketched), shape))
+    nodes = settle(found.groupBy("node", "size", "fp", *columns).agg(F.min("doc").alias("first"), F.min("text_hash").alias("text_hash"), F.first("wide").alias("wide")))
+    keys = only.mapInArrow(per_batch(keyed), "key long, node long")
+    roots = similar_roots(nodes.drop("first"), keys, rows.select("text_hash", "text"), shingle, similarity)
     joined = settle(nodes.select("node", "first").join(roots, "node").select("node", "first", "root"))
     smallest = settle(joined.groupBy("root").agg(F.min("first").alias("component")))  # so that the join may split a hot root
     labels = joined.join(smallest, "root").select("node", "component")

@@ -217,6 +217,26 @@ def test_hot_buckets_keep_all_near_copies(spark, monkeypatch):
         assert {r.doc: r.component for r in found} == dict(enumerate(want))
 
 
+def test_the_pipeline_links_by_simhash_first(spark, monkeypatch):
+    """The candidates are those of fingerprints in pigeonhole blocks; what they miss is left to the exact search."""
+    texts = pairs_of_similarity(8, 40)
+    sets = [simhash.shingles(t, 5) for t in texts]
+    fps = [simhash.set_fingerprint(x) for x in sets]
+    asked, pairs, plain = [], [], simhash.links
+
+    def links(frame, *more):
+        asked.append({r.fp % 2**64 for r in frame.collect()})
+        found = plain(frame, *more)
+        pairs.extend((r.a % 2**64, r.b % 2**64) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(simhash, "links", links)
+    found = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc: r.component for r in found.collect()} == dict(enumerate(near_groups(texts)[0]))
+    assert asked == [set(fps)]
+    assert {frozenset(p) for p in pairs} == {frozenset((a, b)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 3} and pairs
+
+
 def test_a_repeated_line_makes_no_near_copies(spark):
     line = " ".join(f"line{k}" for k in range(12))
     texts = []

@@ -263,3 +263,29 @@ def test_sliding_minimum_and_runs():
     assert [a.tolist() for a in blocks.runs(np.zeros(0, bool))] == [[], []]
 
 
+
+
+def test_set_fingerprints_and_wide_sketches():
+    assert simhash.set_fingerprint(np.zeros(0, np.uint64)) == 0
+    for n in (1, 2, 7, 90, 1500):
+        x = np.unique(RNG.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        assert simhash.set_fingerprint(x) == sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in x) > len(x))
+        for m in (1, 40, 2 * n):
+            y = np.unique(np.r_[x[: n // 2], RNG.integers(0, 2**63, m).astype(np.uint64)])
+            only = len(np.setxor1d(x, y))
+            assert simhash.wide_apart(simhash.wide_sketch(x), simhash.wide_sketch(y)) <= only
+    a, b = (RNG.integers(0, 2**63, 4000).astype(np.uint64) for _ in "ab")
+    assert simhash.wide_apart(simhash.wide_sketch(a), simhash.wide_sketch(b)) > 8000 / 9  # long texts that share nothing are ruled out
+
+
+def test_a_pair_is_named_by_the_first_large_bucket_that_it_shares():
+    keys, members = list(range(10, 60)), 40
+    search = simhash.candidates_inside(0.8)
+    named = []
+    for at, key in enumerate(keys):
+        earlier = [keys[at - i - 1] if at > i else key for i in range(simhash.BACK)]
+        columns = {"node": np.arange(members), "root": np.arange(members), "size": np.full(members, 100), "part": np.zeros(members, np.int64)}
+        columns |= {f"w{i}": np.zeros(members, np.int64) for i in range(simhash.WORDS)} | {f"p{i}": np.full(members, p) for i, p in enumerate(earlier)}
+        got = search((pa.scalar(key), pa.scalar(0), pa.scalar(0)), pa.table({c: v.astype(np.int64) for c, v in columns.items()}))
+        named += list(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True))
+    assert sorted(named) == [(a, b) for a in range(members) for b in range(a + 1, members)]
