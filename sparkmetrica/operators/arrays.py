@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkmetrica.functions.scalars import num
 from sparkmetrica.functions.vectors import literal_vector, vec_dist, vec_dot
+from sparkmetrica.session import discard, settle
 
 
 def axis_stats(df: DataFrame, column: str) -> DataFrame:
@@ -155,13 +156,15 @@ def digitize(df: DataFrame, column: str, edges, name: str = "bin") -> DataFrame:
 
 
 CENTRE_BYTES = 32 << 20
+CELLS = 1 << 22  # distances that a task holds at once
 
 
 def nearest_of(df: DataFrame, key: str, column: str, centres: DataFrame, label: str, vector: str, other: bool = False, block_bytes: int = CENTRE_BYTES) -> DataFrame:
     """``key, nearest, distance``: the label of the nearest of many centres for every row, ties to the smaller label.
 
     Centres are a table. They are sent to the tasks in blocks of at most ``block_bytes``, one after the other, and each task
-    carries its rows' best so far, so neither the plan nor a task's memory grows with their number. Inside a block distances come from one matrix
+    carries its rows' best so far. Rows are written after each block but the last, so that one block at a time is in the
+    tasks' memory: neither it nor the plan grows with the number of centres. Inside a block distances come from one matrix
     product, ``|x|^2 - 2 x'c + |c|^2``; those within its rounding of the least are taken again from the differences.
     With ``other`` a row's own key is no centre for it. Rows and centres with a missing element have no part; without centres the answer is NULL.
     """
@@ -174,12 +177,21 @@ def nearest_of(df: DataFrame, key: str, column: str, centres: DataFrame, label:
     rows = df.where(whole(column)).select(F.col(key).alias("key"), F.col(column).cast("array<double>").alias("x"), F.lit(None).cast("long").alias("nearest"), F.lit(None).cast("double").alias("distance"))
     kind = df.schema[key].dataType.simpleString()
     parts = -(-facts[0] * 8 * (facts[1] or 0) // block_bytes)
-    numbered = points.withColumn("part", F.pmod(F.xxhash64("label", "c"), F.lit(max(parts, 1))))
+    numbered, written = points.withColumn("part", F.pmod(F.xxhash64("label", "c"), F.lit(max(parts, 1)))), None
+    if parts > 1:
+        numbered = settle(numbered)
     for part in range(parts):
+        if part:
+            before, written = written, settle(rows)
+            rows = written
+            discard(before)
+            sent.unpersist()  # noqa: F821
         # about block_bytes: a hash deals the centres evenly
         block = numbered.where(F.col("part") == part).select("label", "c").toArrow().sort_by("label")
         sent = spark.sparkContext.broadcast((block.column("label").to_numpy(), block.column("c").combine_chunks().flatten().to_numpy().reshape(block.num_rows, -1)))
         rows = rows.mapInArrow(_nearer(sent, other), f"key {kind}, x array<double>, nearest long, distance double")
+    if parts > 1:
+        discard(numbered)
     return rows.select(F.col("key").alias(key), "nearest", F.sqrt("distance").alias("distance"))
 
 
@@ -189,9 +201,10 @@ def _nearer(sent, other: bool):
     def run(batches):
         labels, c = sent.value
         square = (c * c).sum(axis=1)
+        step = max(1, min(1024, CELLS // max(len(c), 1)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 n = part.num_rows
                 x = part.column("x").flatten().to_numpy(zero_copy_only=False)
                 if len(x) != n * c.shape[1]:
@@ -201,7 +214,9 @@ def _nearer(sent, other: bool):
                 name = part.column("nearest").to_pylist()
                 best = np.array([np.inf if v is None else v for v in part.column("distance").to_pylist()])
                 size = (x * x).sum(axis=1)
-                rough = size[:, None] - 2 * (x @ c.T) + square
+                rough = (-2 * x) @ c.T
+                rough += size[:, None]
+                rough += square
                 if other:
                     rough[np.array(keys)[:, None] == labels] = np.inf
                 edge = np.minimum(rough.min(axis=1, initial=np.inf), best) + 1e-9 * (size + square.max(initial=0.0) + 1)

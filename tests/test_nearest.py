@@ -47,3 +47,12 @@ def test_ranks_of_many_columns_in_one_order(spark):
     rank = [np.array([np.nan if np.isnan(q) else (v < q).sum() + ((v == q).sum() + 1) / 2 for q in v]) for v in x]
     ok = ~np.isnan(rank[0]) & ~np.isnan(rank[1])
     assert both.agg(F.corr("a", "c")).first()[0] == pytest.approx(np.corrcoef(rank[0][ok], rank[1][ok])[0, 1], abs=1e-12) and keyed.count() == 400
+
+
+def test_blocks_of_centres_don_t_pile_up(spark):
+    """One block at a time is in the tasks: however many there are, the plan has one step in Python, which holds few distances at once."""
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))], "id long, v array<double>").repartition(2)
+    for block_bytes in (A.CENTRE_BYTES, 400):
+        plan = A.nearest_of(rows, "id", "v", rows, "id", "v", other=True, block_bytes=block_bytes)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1
