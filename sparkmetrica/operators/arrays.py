@@ -92,27 +92,35 @@ def project(df: DataFrame, column: str, weights, name: str = "projected") -> Dat
     return df.withColumn(name, F.array(*[vec_dot(column, literal_vector(c)) for c in columns]))
 
 
+DENSE = 1 / 16  # share of entries from which a block counts as dense
+
+
 def matmul(a: DataFrame, b: DataFrame, block: int = 256) -> DataFrame:
-    """Product of two long matrices ``(i, j, v)``, cut into square blocks.
+    """Product of two long matrices ``(i, j, v)``: dense blocks by blocks, all other entries by a join on the inner index.
 
-    A block of ``a`` meets the blocks of ``b`` with the same inner range. One task
-    holds at most ``2 * block^2`` entries, even if one row or column is dense.
+    Two dense blocks with the same inner range are multiplied in one task, which
+    holds at most ``2 * block^2`` entries, even if one row or column is dense. Where one of two
+    blocks has few entries, its entries meet those of the other one by one, so the work grows with the
+    entries that meet and not with the blocks. Missing values add nothing; a cell of such only is NULL.
     """
-    left = a.groupBy("i", "j").agg(F.sum(num("v")).alias("v"))
-    right = b.groupBy("i", "j").agg(F.sum(num("v")).alias("v"))
 
     def cut(c: str) -> Column:
         return F.floor(F.col(c) / F.lit(block)).cast("bigint")
 
-    left = left.withColumns({"bi": cut("i"), "bk": cut("j")})
-    right = right.withColumns({"bk": cut("i"), "bj": cut("j")})
+    def entries(m: DataFrame, keys: dict) -> tuple[DataFrame, DataFrame]:
+        """Summed entries with their block, and the dense blocks."""
+        rows = m.where("i IS NOT NULL AND j IS NOT NULL").groupBy("i", "j").agg(F.sum(num("v")).alias("v"))
+        rows = settle(rows.withColumns({k: cut(c) for k, c in keys.items()}))
+        dense = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DENSE * block * block).select(*keys, F.lit(True).alias("dense")))
+        return rows, dense
+
+    left, dense_left = entries(a, {"bi": "i", "bk": "j"})
+    right, dense_right = entries(b, {"bk": "i", "bj": "j"})
     # the products of blocks to be made; entries are then joined by their own block,
     # so that a dense inner range does not gather in one task
-    products = left.select("bi", "bk").distinct().join(right.select("bk", "bj").distinct(), "bk")
+    products = dense_left.drop("dense").join(dense_right.drop("dense"), "bk")
     # both sides of the cogroup descend from one table: fresh columns on the right
     others = products.select(*[F.col(c).alias(c) for c in ("bk", "bi", "bj")])
-    left = left.join(products, ["bi", "bk"])
-    right = right.select(*[F.col(c).alias(c) for c in right.columns]).join(others, ["bk", "bj"])
 
     def multiply(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         bi, bk, bj = key
@@ -127,10 +135,12 @@ def matmul(a: DataFrame, b: DataFrame, block: int = 256) -> DataFrame:
         return pd.DataFrame({"i": i + bi * block, "j": j + bj * block, "v": product[0, i, j]})
 
     keys = ["bi", "bk", "bj"]
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        multiply, "i bigint, j bigint, v double"
-    )
-    return partial.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    inside, meets = left.where("v IS NOT NULL").join(products, ["bi", "bk"]), right.where("v IS NOT NULL").join(others, ["bk", "bj"])
+    blocks = inside.groupBy(*keys).cogroup(meets.groupBy(*keys)).applyInPandas(multiply, "i bigint, j bigint, v double")
+    x = left.join(dense_left, ["bi", "bk"], "left").select(F.col("i").cast("bigint").alias("i"), F.col("j").alias("k"), F.col("v").alias("x"), F.col("dense").alias("dx"))
+    y = right.join(dense_right, ["bk", "bj"], "left").select(F.col("i").alias("k"), F.col("j").cast("bigint").alias("j"), F.col("v").alias("y"), F.col("dense").alias("dy"))
+    single = x.join(y, "k").where("dx IS NULL OR dy IS NULL OR x IS NULL OR y IS NULL").select("i", "j", (F.col("x") * F.col("y")).alias("v"))
+    return blocks.unionByName(single).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def nearest(df: DataFrame, column: str, centers: dict, name: str = "nearest") -> DataFrame:

@@ -190,3 +190,23 @@ def test_pages_to_price_factors(spark):
     assert flats.count() == 1500
     rows, names = R.design(flats, ("log", "price"), [("log", "area"), "dist"])
     assert R.ols(rows, "y", names).slopes == pytest.approx([0.8, -0.05], abs=0.1)
+
+
+def test_matmul_of_dense_and_sparse_blocks(spark):
+    r = np.random.default_rng(4)
+    a, b = np.zeros((40, 40)), np.zeros((40, 40))
+    a[:16, :16], b[:16, :20] = r.integers(1, 5, (16, 16)), r.integers(1, 5, (16, 20))  # dense blocks, and a block beside them with few columns
+    for m in (a, b):
+        m[r.integers(0, 40, 12), r.integers(0, 40, 12)] = 7
+    long = lambda m: spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "i bigint, j bigint, v double")
+    out = np.zeros((40, 40))
+    for row in A.matmul(long(a), long(b), 16).collect():
+        out[row["i"], row["j"]] += row["v"]
+    np.testing.assert_allclose(out, a @ b)
+
+
+def test_matmul_leaves_missing_values_out(spark):
+    a = spark.createDataFrame([(0, 0, None), (0, 1, 5.0), (1, 0, 2.0), (2, 0, None)], "i bigint, j bigint, v double")
+    b = spark.createDataFrame([(0, 0, 3.0), (1, 0, 1.0)], "i bigint, j bigint, v double")
+    for block in (1, 256):
+        assert sorted(map(tuple, A.matmul(a, b, block).collect()))[:2] == [(0, 0, 5.0), (1, 0, 6.0)]
