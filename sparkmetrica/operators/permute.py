@@ -7,6 +7,7 @@ rows serves any number of permutations: each is an expression of the row's place
 
 from __future__ import annotations
 
+import hashlib
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame
@@ -25,22 +26,21 @@ def grid(n: int) -> tuple[int, int]:
     return a, -(-n // a) if n else 1
 
 
-def round_value(seed: str, turn: Column, half: Column) -> Column:
-    """First 8 hex digits of ``md5(seed:turn:half)``."""
-    text = F.concat_ws(":", F.lit(seed), turn.cast("string"), half.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+def round_values(seed: str, turn: int, side: int) -> Column:
+    """First 8 hex digits of ``md5(seed:turn:half)`` for every half below ``side``: one literal array of about the square root of the rows."""
+    values = [int(hashlib.md5(f"{seed}:{turn}:{half}".encode()).hexdigest()[:8], 16) for half in range(side)]
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def scrambled(place: Column, a: int, b: int, seed: str) -> Column:
+def scrambled(place: Column, a: int, b: int, tables: list[Column]) -> Column:
     """One pass through the network; ``place`` and the answer are cells from 0 to ``a * b - 1``."""
-    state = F.struct(F.pmod(place, F.lit(a)).cast("bigint").alias("l"), F.floor(place / F.lit(a)).cast("bigint").alias("r"))
-
-    def turn(s: Column, i: Column) -> Column:
-        left = F.pmod(s["l"] + round_value(seed, i, s["r"]), F.lit(a)).cast("bigint")
-        right = F.pmod(s["r"] + round_value(seed, i, s["l"]), F.lit(b)).cast("bigint")
-        return F.when(i % 2 == 0, F.struct(left.alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), right.alias("r")))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), state, turn, lambda s: s["r"] * F.lit(a) + s["l"])
+    left, right = F.pmod(place, F.lit(a)).cast("bigint"), F.floor(place / F.lit(a)).cast("bigint")
+    for turn, values in enumerate(tables):
+        if turn % 2 == 0:
+            left = F.pmod(left + F.get(values, right.cast("int")), F.lit(a)).cast("bigint")
+        else:
+            right = F.pmod(right + F.get(values, left.cast("int")), F.lit(b)).cast("bigint")
+    return right * F.lit(a) + left
 
 
 def permuted(place: Column, n: int, seed: str) -> Column:
@@ -49,12 +49,15 @@ def permuted(place: Column, n: int, seed: str) -> Column:
     There are fewer cells outside than rows on a side, so a walk through ``WALKS`` of them has a chance below n to the power -8; it would be an error, never a wrong place.
     """
     a, b = grid(n)
-    at, outside = scrambled(place, a, b, seed), a * b - n
-    if outside:
-        at = F.aggregate(F.sequence(F.lit(1), F.lit(min(outside, WALKS))), at, lambda x, _: F.when(x >= n, scrambled(x, a, b, seed)).otherwise(x))
+    tables = [round_values(seed, turn, a if turn % 2 else b) for turn in range(ROUNDS)]
+    first, outside = scrambled(place, a, b, tables), a * b - n
+    if not outside:
+        return first
+    walk = lambda x, _: F.when(x >= n, scrambled(x, a, b, tables)).otherwise(x)
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(min(outside, WALKS))), first, walk)
     if outside > WALKS:
         at = F.when(at < n, at).otherwise(F.raise_error(F.lit("a cycle walk did not end")).cast("bigint"))
-    return at
+    return F.when(first < n, first).otherwise(at)  # few rows walk
 
 
 def shuffled_columns(df: DataFrame, columns, key, seed: str, keep=()) -> DataFrame:
@@ -68,18 +71,17 @@ def shuffled_columns(df: DataFrame, columns, key, seed: str, keep=()) -> DataFra
     n = df.count()
     at = (F.col("pos") - 1).cast("bigint")
     rest = list(dict.fromkeys([*keep, *columns]))
-    empty = {c: F.lit(None).cast(df.schema[c].dataType) for c in columns}
-    kinds = F.struct(*[F.lit(None).cast(df.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(rest)])
+    # flat columns, so that values of fixed width are gathered by hash and not sorted
+    empty = {c: F.lit(None).cast(df.schema[c].dataType) for c in rest}
 
-    def entry(target: Column, which: int, own: Column | None, value: dict) -> Column:
-        cells = [value.get(c, empty[c]).alias(f"v{i}") for i, c in enumerate(columns)]
-        return F.struct(target.alias("place"), F.lit(which).alias("which"), *cells, (kinds if own is None else own).alias("own"))
+    def entry(target: Column, values: dict, own: dict) -> Column:
+        cells = [values.get(c, empty[c]).alias(f"v{i}") for i, c in enumerate(columns)]
+        return F.struct(target.alias("place"), *cells, *[own.get(c, empty[c]).alias(f"c{i}") for i, c in enumerate(rest)])
 
-    home = entry(at, -1, F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]), {})
-    sent = [entry(permuted(at, n, f"{seed}:{c}"), i, None, {c: F.col(c)}) for i, c in enumerate(columns)]
+    placed = placed.select(at.alias("_at"), *[permuted(at, n, f"{seed}:{c}").alias(f"_to{i}") for i, c in enumerate(columns)], *rest)
+    home = entry(F.col("_at"), {}, {c: F.col(c) for c in rest})
+    sent = [entry(F.col(f"_to{i}"), {c: F.col(c)}, {}) for i, c in enumerate(columns)]
     long = placed.select(F.inline(F.array(home, *sent)))
-    met = long.groupBy("place").agg(
-        F.max(F.when(F.col("which") == -1, F.struct("own"))).alias("home"),
-        *[F.max(F.when(F.col("which") == i, F.struct(F.col(f"v{i}").alias("v")))).alias(f"n{i}") for i in range(len(columns))],
-    )
-    return met.select("place", *[F.col(f"home.own.c{i}").alias(c) for i, c in enumerate(rest)], *[F.col(f"n{i}.v").alias(f"{c}_new") for i, c in enumerate(columns)])
+    # a place has one value of each column, all others are NULL
+    met = long.groupBy("place").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(len(rest))], *[F.max(f"v{i}").alias(f"n{i}") for i in range(len(columns))])
+    return met.select("place", *[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], *[F.col(f"n{i}").alias(f"{c}_new") for i, c in enumerate(columns)])

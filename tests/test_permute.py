@@ -86,3 +86,11 @@ def test_medians_of_many_units_leave_little_to_order(spark):
         inner = np.histogram(y, [-np.inf, *edges, np.inf])[0][1:-1]
         assert len(edges) == E.BRACKETS - 1 and inner.max() < 0.005 * len(y)
     assert E.bootstrap_medians(rows, 20, "s").count() == 40
+
+
+def test_permutations_read_their_round_values_from_a_table(spark):
+    """No hash is made for a row, and values of fixed width are gathered without a sort."""
+    df = spark.range(500).select("id", (F.col("id") * 3 % 97).cast("double").alias("x"))
+    plan = P.shuffled_columns(df, ["x"], "id", "s")._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert "md5" not in physical and "SortAggregate" not in physical and "HashAggregate" in physical
