@@ -82,17 +82,31 @@ def fit_logit(df: DataFrame, label: str = "label", features: str = "features", w
     return (est.setWeightCol(weight) if weight else est).fit(df)
 
 
+TASK_ROWS = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt anew into partitions of about ``TASK_ROWS`` rows if one has over twice as many; as it is otherwise.
+
+    Tree learners hold the binned rows of a partition in memory and read them again for every level, many times the size of
+    the compressed files that Spark cuts its partitions by.
+    """
+    sizes = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    most, rows = sizes.agg(F.max("rows"), F.sum("rows")).first()
+    return df.repartition(-(-rows // TASK_ROWS)) if (most or 0) > 2 * TASK_ROWS else df
+
+
 def fit_tree(df: DataFrame, label: str = "label", features: str = "features", **params):
-    return DecisionTreeClassifier(labelCol=label, featuresCol=features, **params).fit(df)
+    return DecisionTreeClassifier(labelCol=label, featuresCol=features, **params).fit(spread(df))
 
 
 def fit_forest(df: DataFrame, label: str = "label", features: str = "features", **params):
-    return RandomForestClassifier(labelCol=label, featuresCol=features, **{"seed": 7, **params}).fit(df)
+    return RandomForestClassifier(labelCol=label, featuresCol=features, **{"seed": 7, **params}).fit(spread(df))
 
 
 def fit_gbt(df: DataFrame, label: str = "label", features: str = "features", **params):
     """Boosted trees. Long boosting runs cut their lineage every ten rounds."""
-    return GBTClassifier(labelCol=label, featuresCol=features, **{"seed": 7, **params}).fit(df)
+    return GBTClassifier(labelCol=label, featuresCol=features, **{"seed": 7, **params}).fit(spread(df))
 
 
 def fit_svm(df: DataFrame, label: str = "label", features: str = "features", **params):

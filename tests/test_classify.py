@@ -107,3 +107,16 @@ def test_tuning_uses_the_same_folds_on_any_partitioning(rows):
     grid = ParamGridBuilder().addGrid(est.regParam, [0.001, 1.0]).build()
     one, two = C.tune(est, grid, rows, "id"), C.tune(est, grid, rows.repartition(3), "id")
     assert one.avgMetrics == pytest.approx(two.avgMetrics, abs=1e-6) and min(one.avgMetrics) > 0.8
+
+
+def test_trees_are_grown_on_partitions_of_bounded_size(spark, monkeypatch):
+    rows = spark.range(4000).coalesce(1).select((F.col("id") % 40).cast("double").alias("x"), ((F.col("id") % 40 > 17) | (F.col("id") % 9 == 0)).cast("double").alias("label"))
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows).select("label", "features")
+    before = C.fit_gbt(rows, maxIter=2, maxDepth=1).toDebugString
+    assert C.spread(rows) is rows
+    monkeypatch.setattr(C, "TASK_ROWS", 500)
+    sizes = [r["n"] for r in C.spread(rows).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 1000
+    cut = lambda text: [word for word in text.split() if word.endswith(")") and word[0].isdigit()]  # noqa: E731  weights and thresholds
+    assert cut(C.fit_gbt(rows, maxIter=2, maxDepth=1).toDebugString) == cut(before)
+    assert C.spread(rows.where("false")).count() == 0
