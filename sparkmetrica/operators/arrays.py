@@ -101,21 +101,25 @@ def matmul(a: DataFrame, b: DataFrame, block: int = 256) -> DataFrame:
     Two dense blocks with the same inner range are multiplied in one task, which
     holds at most ``2 * block^2`` entries, even if one row or column is dense. Where one of two
     blocks has few entries, its entries meet those of the other one by one, so the work grows with the
-    entries that meet and not with the blocks. Missing values add nothing; a cell of such only is NULL.
+    entries that meet and not with the blocks. A missing
+    value makes its row of the left block, or column of the right one, missing.
     """
 
     def cut(c: str) -> Column:
         return F.floor(F.col(c) / F.lit(block)).cast("bigint")
 
-    def entries(m: DataFrame, keys: dict) -> tuple[DataFrame, DataFrame]:
-        """Summed entries with their block, and the dense blocks."""
+    def entries(m: DataFrame, keys: dict, lines: list) -> tuple[DataFrame, DataFrame]:
+        """Summed entries with their block, those of a line with a missing value missing, and the dense blocks."""
         rows = m.where("i IS NOT NULL AND j IS NOT NULL").groupBy("i", "j").agg(F.sum(num("v")).alias("v"))
         rows = settle(rows.withColumns({k: cut(c) for k, c in keys.items()}))
+        gaps = settle(rows.where("v IS NULL").select(*lines, F.lit(True).alias("gap")).distinct())
+        if not gaps.isEmpty():
+            rows = settle(rows.join(gaps, lines, "left").withColumn("v", F.when(F.col("gap").isNull(), F.col("v"))).drop("gap"))
         dense = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DENSE * block * block).select(*keys, F.lit(True).alias("dense")))
         return rows, dense
 
-    left, dense_left = entries(a, {"bi": "i", "bk": "j"})
-    right, dense_right = entries(b, {"bk": "i", "bj": "j"})
+    left, dense_left = entries(a, {"bi": "i", "bk": "j"}, ["i", "bk"])
+    right, dense_right = entries(b, {"bk": "i", "bj": "j"}, ["bk", "j"])
     # the products of blocks to be made; entries are then joined by their own block,
     # so that a dense inner range does not gather in one task
     products = dense_left.drop("dense").join(dense_right.drop("dense"), "bk")
@@ -135,11 +139,11 @@ def matmul(a: DataFrame, b: DataFrame, block: int = 256) -> DataFrame:
         return pd.DataFrame({"i": i + bi * block, "j": j + bj * block, "v": product[0, i, j]})
 
     keys = ["bi", "bk", "bj"]
-    inside, meets = left.where("v IS NOT NULL").join(products, ["bi", "bk"]), right.where("v IS NOT NULL").join(others, ["bk", "bj"])
+    inside, meets = left.join(products, ["bi", "bk"]), right.join(others, ["bk", "bj"])
     blocks = inside.groupBy(*keys).cogroup(meets.groupBy(*keys)).applyInPandas(multiply, "i bigint, j bigint, v double")
     x = left.join(dense_left, ["bi", "bk"], "left").select(F.col("i").cast("bigint").alias("i"), F.col("j").alias("k"), F.col("v").alias("x"), F.col("dense").alias("dx"))
     y = right.join(dense_right, ["bk", "bj"], "left").select(F.col("i").alias("k"), F.col("j").cast("bigint").alias("j"), F.col("v").alias("y"), F.col("dense").alias("dy"))
-    single = x.join(y, "k").where("dx IS NULL OR dy IS NULL OR x IS NULL OR y IS NULL").select("i", "j", (F.col("x") * F.col("y")).alias("v"))
+    single = x.join(y, "k").where("dx IS NULL OR dy IS NULL").select("i", "j", (F.col("x") * F.col("y")).alias("v"))
     return blocks.unionByName(single).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 

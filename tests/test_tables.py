@@ -205,8 +205,16 @@ def test_matmul_of_dense_and_sparse_blocks(spark):
     np.testing.assert_allclose(out, a @ b)
 
 
-def test_matmul_leaves_missing_values_out(spark):
-    a = spark.createDataFrame([(0, 0, None), (0, 1, 5.0), (1, 0, 2.0), (2, 0, None)], "i bigint, j bigint, v double")
-    b = spark.createDataFrame([(0, 0, 3.0), (1, 0, 1.0)], "i bigint, j bigint, v double")
-    for block in (1, 256):
-        assert sorted(map(tuple, A.matmul(a, b, block).collect()))[:2] == [(0, 0, 5.0), (1, 0, 6.0)]
+@pytest.mark.parametrize("dense", [0.0, 1 / 16, 2.0])
+def test_missing_values_mean_the_same_in_dense_and_sparse_blocks(spark, monkeypatch, dense):
+    monkeypatch.setattr(A, "DENSE", dense)
+    a = spark.createDataFrame([(0, 0, None), (0, 1, 5.0), (0, 4, 2.0), (1, 0, 2.0), (9, 0, None)], "i bigint, j bigint, v double")
+    b = spark.createDataFrame([(0, 0, 3.0), (1, 0, 1.0), (4, 0, 1.0), (1, 1, None), (0, 1, 8.0)], "i bigint, j bigint, v double")
+    assert sorted(map(tuple, A.matmul(a, b, 4).collect())) == [(0, 0, 2.0), (0, 1, None), (1, 0, 6.0), (1, 1, None), (9, 0, None), (9, 1, None)]
+
+
+def test_few_entries_make_no_blocks(spark):
+    """Entries that lie far apart are joined: a block of this side would not fit in any memory."""
+    a = spark.createDataFrame([(300 * k, 700 * k, 2.0) for k in range(50)], "i bigint, j bigint, v double")
+    b = spark.createDataFrame([(700 * k, 900 * k, 3.0) for k in range(50)], "i bigint, j bigint, v double")
+    assert sorted(map(tuple, A.matmul(a, b, 1 << 20).collect())) == [(300 * k, 900 * k, 6.0) for k in range(50)]
