@@ -30,7 +30,7 @@ def planes_of(codes: np.ndarray, planes: int):
     for p in range(planes - 1, -1, -1):
         bit = (codes >> p) & 1 == 1
         yield bit, len(bit) - int(bit.sum())
-        codes = np.concatenate([codes[~bit], codes[bit]])
+        codes = np.concatenate([codes.take(np.flatnonzero(~bit)), codes.take(np.flatnonzero(bit))])  # faster than masks where bits are mixed
 
 
 def encode(docs: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -146,8 +146,8 @@ class Shard:
             zeros, bits, _ = self.planes[p]
             bit = np.unpackbits(bits.view(np.uint8), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(code)
-            above[~bit] = code[:zeros]
-            above[bit] = code[zeros:] | kind(1 << (len(self.planes) - 1 - p))
+            above[np.flatnonzero(~bit)] = code[:zeros]
+            above[np.flatnonzero(bit)] = code[zeros:] | kind(1 << (len(self.planes) - 1 - p))
             code = above
         return self.alphabet[code]
 
@@ -155,16 +155,12 @@ class Shard:
 def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> None:
     """Writes the ids of every text and ``end_id``, documents in id order (NULL first, equal ids by text); NULL text is empty."""
     blocks = Blocks(docs.select(id_col, text_col), id_col, text_col, shard_bytes)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(key, rows):
         code = encoder(path or token_path())
         rows = ordered(rows)
-        parts = []
-        for part in rows.select(["text"]).to_batches(max_chunksize=1024):
-            parts += code.encode(part.column(0).to_pylist())
-        sizes = np.array([len(x) // 4 + 1 for x in parts], np.int64)
-        ids = np.frombuffer(b"".join(x + end for x in parts), "<u4")
+        parts = [x for part in rows.column("text").chunks for x in code.encode_column(part, end_id)]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         data = encode(rows.column("doc").to_pylist(), sizes, ids)
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "n_docs": pa.array([len(sizes)], pa.int64()), "n_tokens": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})
 

@@ -150,6 +150,43 @@ def test_tokens_equal_the_library():
         assert np.frombuffer(data, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
 
 
+ODD = ["", None, "  a", " a b ", " ", "a  b", "a\n\nb c", "x \n y", "<|endoftext|> a<|endoftext|>b", "<|endo", "ftext|> a b", "it's a 's ' s don't.", "l'eau,l'Été d''été 5's 'll'm.'s", "a\u3000b c", "a\x1cb \x1c c", "a \xa0 b\u2003 c\x85d \u2028e",
+    "1 2 3,000\t\tz", "é ñ\r\nb", "\n", "\nword, word. word\n", "日本語 text。x", "a_b #x *** y%%%", "²³ ½a1 x2y", "3×4÷5 ×é.÷", "Привет,мир! ё1҂ Ѐ.", "e\u0301.a \u0301,", "“quoted”–λόγος. ªº. ß5"]
+
+
+def test_columns_of_tokens_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.token_path())
+    texts = ODD + some_texts(60, letters="ab ,.'\"(\n\té1÷×Ж’\xa0λ\u0301日")
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    for part, known, longest in ((8 << 20, 500_000, 64), (300, 20, 64), (1, 1, 2)):
+        monkeypatch.setattr(tokens, "PART_BYTES", part)
+        monkeypatch.setattr(tokens, "KNOWN", known)
+        monkeypatch.setattr(tokens, "KNOWN_BYTES", longest)
+        code = tokens.Encoder(tokens.token_path())
+        for kind in (pa.string(), pa.large_string()):
+            got = list(code.encode_column(pa.array(["before", *texts, "after"], kind).slice(1, len(texts)), 7))
+            assert np.concatenate([n for _, n in got]).tolist() == [len(w) for w in want]
+            assert np.concatenate([ids for ids, _ in got]).tolist() == [i for w in want for i in w]
+            assert len(code.known.names) <= known
+            assert len(got) == 1 if part > 1 << 20 else len(got) > 5
+    assert list(code.encode_column(pa.array([], pa.string()), 7)) == []
+    assert [(i.tolist(), n.tolist()) for i, n in code.encode_column(pa.array(["", None]), 7)] == [([7, 7], [1, 1])]
+
+
+def test_columns_spell_each_piece_once(monkeypatch):
+    """Words with other marks behind them, in many texts, cost one call of the tokenizer a word."""
+    made = []
+    make = tokens.Pieces.make
+    monkeypatch.setattr(tokens.Pieces, "make", lambda self, piece: made.append(piece) or make(self, piece))
+    code = tokens.Encoder(tokens.token_path())
+    texts = [" ".join(["x", *(w + m for w in ("aval", "bevel", "été"))]) for m in (",", ".", "!", ")", "%%%", "5", "") for _ in range(50)]
+    for _ in range(2):
+        list(code.encode_column(pa.array(texts), 2))
+    assert sorted(made) == sorted(["x", "aval", "bevel", "été", ",", ".", "!", ")", "%%%", "5"])
+
+
 def test_cache_generations(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT", 3)
     code = tokens.Encoder(tokens.token_path())
