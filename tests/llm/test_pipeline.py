@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -114,6 +115,15 @@ def test_packing_stage(stages):
     assert set(pieces) == set(texts(stages[3])) and len(filled) <= sum(pieces.values()) // 2048 + 2
 
 
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
+def test_a_stage_sends_batches_of_about_a_megabyte(spark, planted, stage):
+    """A batch is held several times outside the heap, and what five stages leave behind adds up."""
+    stage(spark, spark.read.parquet(f"{planted[0]}/documents.parquet").select(*COLUMNS), planted[0])
+    texts = spark.range(400, numPartitions=1).selectExpr("repeat(char(97 + id % 26), 20000) AS text")
+    sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) >= 8_000_000 and max(r.n for r in sizes) < 1.2 * (1 << 20)
+
+
 def test_run_gives_the_last_stage(spark, planted, stages):
     got = corpus_pipeline.run(spark, planted[0])
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
