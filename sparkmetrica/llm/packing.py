@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmetrica.llm.common import per_batch
+from sparkmetrica.llm.common import give_back, per_batch
 from sparkmetrica.llm.tokens import encoder, token_path
 from sparkmetrica.session import settle
 
@@ -55,6 +55,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, end
                     for k, (s, n) in enumerate(piece_bounds(len(data) // 4, capacity)):
                         rows.append((doc, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)]), at + i))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc long, piece int, start long, length long, crc long, salt long")

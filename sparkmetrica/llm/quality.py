@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmetrica.llm.common import U, mix, words
+from sparkmetrica.llm.common import U, give_back, mix, words
 from sparkmetrica.session import settle
 
 PLACES = 1 << 12  # hashed features
@@ -220,6 +220,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Qual
                 places.append(at.tobytes() if picked else None)
                 values.append(value.tobytes() if picked else None)
             yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), batch.column("drawn"), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["code", "drawn", "place", "value"])
+        give_back()
 
     drawn = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(7)), F.lit(1 << 40))
     seen = settle(docs.select(F.col(text_col).alias("text"), drawn.alias("drawn"), (drawn < rate * (1 << 40)).alias("picked")).mapInArrow(run, schema))
@@ -254,5 +255,6 @@ def keep_good(docs: DataFrame, model: Quality, text_col: str = "text", keep: flo
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array([model.judge(t.as_py())[1] >= keep for t in batch.column(at)], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from sparkmetrica.llm.blocks import ENTRIES, REPLIES, Blocks, answered, entries, in_earlier_block, ordered, replies, runs
-from sparkmetrica.llm.common import U, mix, rolling
+from sparkmetrica.llm.common import U, give_back, mix, rolling
 
 WINDOW = 100
 ANCHOR = 24
@@ -147,12 +147,18 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def digits(key, rows):
         block = ByteBlock(rows, window, anchor, n)
-        return entries(key[0].as_py(), block.bucket, block.distinct)
+        out = entries(key[0].as_py(), block.bucket, block.distinct)
+        del block
+        give_back()
+        return out
 
     def depth(key, rows, answers):
         block = ByteBlock(rows, window, anchor, n)
         block.refine(answered(answers, 1))
-        return entries(key[0].as_py(), block.bucket2, block.names)
+        out = entries(key[0].as_py(), block.bucket2, block.names)
+        del block
+        give_back()
+        return out
 
     def finish(key, rows, answers):
         block = ByteBlock(rows, window, anchor, n)
@@ -167,12 +173,15 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             starts.append(s)
             lengths.append(k)
             kept.append(raw[end - size : end][~own].tobytes() if len(s) else block.data[end - size : end])
-        return pa.table({
+        out = pa.table({
             "doc": block.rows.column("doc"), "text": pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string()),
             **{c: block.rows.column(c) for c in names},
             "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(block.sizes), "n_removed": pa.array(counts, pa.int64()),
             "span_starts": pa.array(starts, pa.list_(pa.int64())), "span_lengths": pa.array(lengths, pa.list_(pa.int64())),
         })
+        del block, raw, kept, starts, lengths
+        give_back()
+        return out
 
     first = blocks.map(digits, ENTRIES).groupBy("bucket").applyInArrow(judge, REPLIES)
     second = blocks.map_with(first, depth, ENTRIES).groupBy("bucket").applyInArrow(in_earlier_block(2), REPLIES)

@@ -326,3 +326,23 @@ def test_a_pair_is_named_by_the_first_large_bucket_that_it_shares():
         got = search((pa.scalar(key), pa.scalar(0), pa.scalar(0)), pa.table({c: v.astype(np.int64) for c, v in columns.items()}))
         named += list(zip(got.column("a").to_pylist(), got.column("b").to_pylist(), strict=True))
     assert sorted(named) == [(a, b) for a in range(members) for b in range(a + 1, members)]
+
+
+def test_freed_memory_goes_back_to_the_system():
+    def held():
+        with open("/proc/self/status") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("VmRSS"))
+
+    pieces = [bytes(2000) for _ in range(50_000)]
+    last = bytes(2000)  # keeps the C library from cutting its heap there
+    del pieces
+    before = held()
+    common.give_back()
+    assert before - held() > 50_000 and len(last) == 2000
+
+
+def test_a_stream_of_batches_ends_with_giving_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"a": [1, 2]})
+    assert list(common.per_batch(lambda b: b)(iter([batch, batch]))) == [batch, batch] and calls == [1]
